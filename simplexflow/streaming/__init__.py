@@ -1,0 +1 @@
+"""Nothing here: every operator in scope is a batch operator over a finished panel."""
