@@ -22,6 +22,15 @@ SERIES = ["i", "j", "subject"]
 BLOCKS = 4
 
 
+def keep_tiles_together(spark) -> None:
+    """Let a join on tile keys plus sample use a partitioning by the tile keys alone.
+
+    With the default setting Spark spreads each tile over all tasks for the join and then
+    has to move every pair row once more for the windows.
+    """
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
 def support(cells: DataFrame) -> DataFrame:
     """(subject, taxon) sums over present cells; absent cells are zeros added by the caller."""
     nonzero = F.when(F.col("ra") > 0, 1).otherwise(0)
@@ -52,17 +61,12 @@ def dense_series(cells: DataFrame, axis: DataFrame, members: DataFrame) -> DataF
     a subject with many samples is spread over its chunks.
     """
     chunks = axis.select("subject", "chunk").distinct()
-    rows = axis.join(members.join(chunks, "subject"), ["subject", "chunk"])
+    spread = members.join(chunks, "subject").repartition("subject", "chunk")
+    rows = axis.repartition("subject", "chunk").join(spread, ["subject", "chunk"])
     present = cells.select("sample", "taxon", "count")
     return rows.join(present, ["sample", "taxon"], "left").withColumn("count", F.coalesce("count", F.lit(0.0)))
 
 
-def with_lib(axis: DataFrame, cells: DataFrame) -> DataFrame:
-    """Library size of each sample, one for a sample without counts."""
-    libs = cells.groupBy("sample").agg(F.first("lib").alias("lib"))
-    return axis.join(libs, "sample", "left").withColumn("lib", F.coalesce("lib", F.lit(1.0)))
-
-
 def pair_rows(
     left: DataFrame,
     right: DataFrame | None = None,
@@ -78,6 +82,7 @@ def pair_rows(
     ``touching`` keeps pairs with at least one listed part.  About 64 parts per block
     keep one tile near a million rows; raise ``blocks`` with the number of parts.
     """
+    keep_tiles_together(left.sparkSession)
     carry = ["count"] + (carry or [])
     shared = [c for c in left.columns if c not in carry + ["taxon", "_pick"]]
     if touching is not None:

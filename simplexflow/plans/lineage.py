@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from simplexflow.functions.scalars import finite
+from simplexflow.operators.timeaxis import time_groups
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -20,3 +24,11 @@ def cut(df: DataFrame) -> DataFrame:
             return df.persist()
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint()
+
+
+def panel_axis(panel: DataFrame, samples: DataFrame, tol: float | None = None) -> DataFrame:
+    """Samples with subject, time, position and library size, computed once per run."""
+    libs = panel.groupBy("sample").agg(F.sum("count").alias("_total"))
+    axis = time_groups(samples, tol).join(libs, "sample", "left")
+    lib = F.when(finite("_total") & (F.col("_total") > 0), F.col("_total")).otherwise(F.lit(1.0))
+    return cut(axis.withColumn("lib", lib).drop("_total"))

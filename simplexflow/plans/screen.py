@@ -14,7 +14,7 @@ from simplexflow.operators import compose as C
 from simplexflow.operators import multitest, pooling
 from simplexflow.operators import pairs as P
 from simplexflow.operators import timeaxis as X
-from simplexflow.plans.lineage import cut
+from simplexflow.plans.lineage import cut, panel_axis
 from simplexflow.sources import panel as S
 
 
@@ -79,8 +79,7 @@ def subject_support(cells: DataFrame, axis: DataFrame, o: ScreenOptions) -> Data
     The guards do not depend on the partner, so they run on the panel before pairing.
     """
     sizes = axis.groupBy("subject").agg(F.count("*").alias("n_samples"), F.first("n_groups").alias("n_groups"))
-    stats = P.support(cells.join(axis.select("sample"), "sample", "left_semi")).join(sizes, "subject")
-    stats = stats.withColumns(P.zero_filled_moments(F.col("n_samples")))
+    stats = P.support(cells).join(sizes, "subject").withColumns(P.zero_filled_moments(F.col("n_samples")))
     length = F.col("n_groups") if o.merge_times else F.col("n_samples")
     return stats.filter(
         (length >= o.min_n) & (F.col("var_ra") >= 1e-16) & (F.col("nz_share") >= o.nz_partner_min_frac)
@@ -93,17 +92,16 @@ def screen_rows(panel, samples, taxa=None, interesting=None, o: ScreenOptions |
     Returns the rows, the axis profile and the lags that the halo covers.
     """
     o = o or ScreenOptions()
-    cells = S.with_library(panel)
-    axis = cut(X.time_groups(samples, o.merge_tol))
+    axis = panel_axis(panel, samples, o.merge_tol)
     profile = X.profile_axis(axis, o.chunk_rows)
     lags = A.longest_lag(profile.longest, o.effn_method, o.effn_L)
-    cells = S.join_samples(cells, samples.select("sample", "subject"))
+    cells = S.cells_on_axis(panel, axis)
     total = axis.agg(F.count("*").alias("n"))
     kept = S.filter_taxa(cells, total, o.mean_ra_cut, o.prevalence_cut)
     if taxa is not None:
         kept = S.require_taxa(kept, taxa, 1)
-    members = subject_support(kept, axis, o)
-    seats = X.assign_chunks(P.with_lib(axis, cells), o.chunk_rows, 0 if profile.one_chunk else min(lags, o.chunk_rows))
+    members = cut(subject_support(kept, axis, o))
+    seats = X.assign_chunks(axis, o.chunk_rows, 0 if profile.one_chunk else min(lags, o.chunk_rows))
     dense = P.dense_series(kept, seats, members)
     rows = P.pair_rows(dense, carry=["min_pos"], touching=interesting, blocks=o.blocks)
     rows = C.triplet(rows)

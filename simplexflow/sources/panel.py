@@ -80,6 +80,12 @@ def with_library(panel: DataFrame) -> DataFrame:
     return panel.withColumn("lib", lib).withColumn("ra", finite_or(F.col("count") / F.col("lib"), 0.0))
 
 
+def cells_on_axis(panel: DataFrame, axis: DataFrame) -> DataFrame:
+    """Cells with the subject and library size already known for each sample."""
+    joined = panel.join(axis.select("sample", "subject", "lib"), "sample")
+    return joined.withColumn("ra", finite_or(F.col("count") / F.col("lib"), 0.0))
+
+
 def join_samples(panel: DataFrame, samples: DataFrame) -> DataFrame:
     """Counts with their metadata; samples on one side only are left out."""
     return panel.join(samples, "sample")
