@@ -109,12 +109,13 @@ def cap_bound(mode: str, value: float) -> Column | None:
 
 
 def cap_log_ratio(df: DataFrame, mode: str = "dynamic", value: float = 12.0) -> DataFrame:
-    """Winsorise ``x`` and ``y``; ``cap_hit`` counts the values moved in the row."""
+    """Winsorise ``x`` and ``y``; ``cap_hit`` counts the values moved by more than rounding."""
     bound = cap_bound(mode, value)
     if bound is None:
         return df.withColumn("cap_hit", F.lit(0))
     out = df.withColumn("_cap", bound)
-    hits = (F.abs("x") > F.col("_cap")).cast("int") + (F.abs("y") > F.col("_cap")).cast("int")
+    over = F.col("_cap") + F.lit(1e-9)
+    hits = (F.abs("x") > over).cast("int") + (F.abs("y") > over).cast("int")
     return out.withColumn("cap_hit", hits).withColumns(
         {c: clamp(c, -F.col("_cap"), F.col("_cap")) for c in ("x", "y")}
     ).drop("_cap")

@@ -29,7 +29,7 @@ class Grid:
     def default(n_phi: int = 12, n_q: int = 12, n_rho: int = 5, white: bool = False) -> "Grid":
         edges = np.linspace(0.01, 0.99, n_phi + 1)
         phi = (edges[1:] + edges[:-1]) / 2
-        q = np.exp(np.linspace(np.log(0.02), np.log(8.0), n_q))
+        q = np.exp(np.linspace(np.log(0.02), np.log(30.0), n_q))
         rho = np.exp(np.linspace(np.log(0.03), np.log(3.0), n_rho))
         return Grid((0.5,) if white else tuple(phi), (0.0,) if white else tuple(q), tuple(rho))
 

@@ -55,12 +55,12 @@ def step_up(df: DataFrame, p: str, q: str, scale: Column | None = None) -> DataF
 
 def harmonic(df: DataFrame, p: str) -> Column:
     """1 + 1/2 + ... + 1/m for the number of tests, by its closed expansion above 1,000."""
-    m = df.filter(finite(p)).agg(F.count("*").alias("m")).scalar()
-    exact = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(m, F.lit(1000))).cast("int")), F.lit(0.0), lambda a, k: a + 1 / k
-    )
+    counted = df.filter(finite(p)).agg(F.count("*").alias("m"))
+    m = F.col("m")
+    upto = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(m, F.lit(1000))).cast("int"))
+    exact = F.aggregate(upto, F.lit(0.0), lambda a, k: a + 1 / k)
     wide = F.log(m) + F.lit(0.57721566490153286) + 1 / (2 * m) - 1 / (12 * m * m)
-    return F.when(m <= 1000, exact).otherwise(wide)
+    return counted.select(F.when(m <= 1000, exact).otherwise(wide)).scalar()
 
 
 def rank_weights(df: DataFrame, by: str | None) -> Column:
@@ -93,7 +93,7 @@ def smoother_row(df_target: float = 3.0) -> list[float]:
         trace = (1 / (1 + np.exp(mid) * np.clip(values, 0, None))).sum()
         low, high = (mid, high) if trace > df_target else (low, mid)
     gain = 1 / (1 + np.exp((low + high) / 2) * np.clip(values, 0, None))
-    return list((vectors * gain @ vectors.T)[-1])
+    return [float(v) for v in (vectors * gain @ vectors.T)[-1]]
 
 
 def null_share(df: DataFrame, p: str) -> Column:

@@ -96,7 +96,7 @@ def pool_effects(effects, by=None, method="DL", knha=True, min_k=2, with_p=True,
     rows = rows.withColumn("_mu", mu)
     pooled = rows.groupBy(*by).agg(
         F.first("_k").alias("k"),
-        F.first("_q").alias("Q"),
+        F.first("_q").alias("q_stat"),
         F.first("_c").alias("_c"),
         F.first("_sw").alias("_sw"),
         F.first("_tau2").alias("tau2"),
@@ -117,7 +117,7 @@ def pool_effects(effects, by=None, method="DL", knha=True, min_k=2, with_p=True,
         F.when(ok, F.tanh("z_pooled")).alias("r_pooled"),
         F.when(ok, F.col("tau2")).alias("tau2"),
         F.when(ok, 100 * ratio(F.col("tau2"), typical + F.col("tau2"))).alias("i2"),
-        F.when(ok, F.col("Q")).alias("Q"),
+        F.when(ok, F.col("q_stat")).alias("q_stat"),
         *extra,
     )
     return _with_p_values(out, knha) if with_p else out
@@ -126,10 +126,12 @@ def pool_effects(effects, by=None, method="DL", knha=True, min_k=2, with_p=True,
 def _with_p_values(out: DataFrame, knha: bool) -> DataFrame:
     df_ = (F.col("k") - 1).cast("double")
     stat = ratio(F.col("z_pooled"), F.col("se"))
-    p = tails.t_two_sided_p(stat, df_) if knha else tails.normal_two_sided_p(stat)
+    tail = tails.t_two_sided_p(stat, df_) if knha else tails.normal_two_sided_p(stat)
+    certain = F.when(F.col("z_pooled") == 0, 1.0).otherwise(0.0)
+    p = F.when(F.col("se") == 0, certain).otherwise(tail)
     width = tails.t_quantile_975(df_) if knha else F.lit(tails.Z975)
     return out.withColumns(
-        {"p": p, "Q_p": F.when(F.col("Q").isNotNull(), tails.chi2_upper_p("Q", df_)), "_wide": width}
+        {"p": p, "q_stat_p": F.when(F.col("q_stat").isNotNull(), tails.chi2_upper_p("q_stat", df_)), "_wide": width}
     ).withColumns(
         {
             "ci_low": F.tanh(F.col("z_pooled") - F.col("_wide") * F.col("se")),

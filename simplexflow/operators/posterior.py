@@ -82,7 +82,8 @@ def fit_grid(gram, logdet, n, grid: Grid, nu: float | None, keep: float = 1e-9)
 
     The noise scale gets its own points around its mode in every cell, spaced by its
     posterior sd, so they stay fine however many rows there are.  Points lighter than
-    ``keep`` times the heaviest are left out.
+    ``keep`` times the heaviest are left out.  ``edge_mass`` is the weight on the largest
+    phi and rho; a large q only says that there is hardly any white noise.
     """
     phi, q = grid.points
     rho = np.array(grid.rho)
@@ -105,10 +106,8 @@ def fit_grid(gram, logdet, n, grid: Grid, nu: float | None, keep: float = 1e-9)
     total = weight.sum()
     edge = weight[:, -1].sum()
     if q.max() > 0:
-        cells = weight.reshape(len(grid.phi), len(grid.q), -1)
-        edge = cells[-1].sum() + cells[:-1, -1].sum() + weight.reshape(
-            len(grid.phi), len(grid.q), len(rho), -1
-        )[:-1, :-1, -1].sum()
+        cells = weight.reshape(len(grid.phi), len(grid.q), len(rho), -1)
+        edge = cells[-1].sum() + cells[:-1, :, -1].sum()
     chosen = np.nonzero(weight > keep)
     cell = np.stack(chosen[:2])
     return Posterior(

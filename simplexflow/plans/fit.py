@@ -366,7 +366,7 @@ def run_edges(rows: DataFrame, axis: DataFrame, profile: X.AxisProfile, o: FitOp
     if one_pass or not o.compute_elpd:
         return cut(series.groupBy("from", "to").applyInPandas(edge_job(o, unit, long_subjects, one_pass), OUT))
     series = cut(series)
-    first = cut(series.groupBy("from", "to").applyInPandas(_typed(edge_job(o, unit, long_subjects, False)), OUT))
+    first = cut(series.groupBy("from", "to").applyInPandas(edge_job(o, unit, long_subjects, False), OUT))
     many = int(facts["s"] // subject_block) + 1
     block = F.pmod(F.xxhash64("subject"), F.lit(many)).alias("block")
     held = series.select("*", block).groupBy("from", "to", "block")
@@ -376,10 +376,6 @@ def run_edges(rows: DataFrame, axis: DataFrame, profile: X.AxisProfile, o: FitOp
     return cut(first.filter("kind <> 'train'").unionByName(scored))
 
 
-def _typed(job):
-    return job
-
-
 def fit_pairs(panel: DataFrame, samples: DataFrame, *, taxa: DataFrame | None = None,
               builder: Callable[[DataFrame], DataFrame] | None = None, **options) -> dict[str, DataFrame]:
     """Fit every directed pair of one panel.

@@ -165,10 +165,12 @@ def subject_table(panel, samples, taxa=None, interesting=None, o: ScreenOptions
         rows = A.lagged_values(rows, lag_cols, lags)
     rows = rows.filter(~F.col("halo"))
     if ranked:
-        for c in base:
+        # Values equal to nine decimals are ties; log-ratios of equal shares differ in the last bits.
+        rows = rows.withColumns({f"{c}_key": F.round(c, 9) for c in base})
+        for c in [f"{b}_key" for b in base]:
             by = [*P.TILE, "i", "j"] if profile.one_chunk else P.SERIES
             rows = A.average_rank(rows, by, c, None if profile.one_chunk else X.SLICE_ROWS)
-        used = [f"{c}_rank" for c in base]
+        used = [f"{c}_key_rank" for c in base]
     sums = A.moment_sums(list(dict.fromkeys([*used, "x", "y"])))
     if o.acf_correction:
         sums.update(A.lag_sums(lag_cols, lags))
