@@ -68,9 +68,9 @@ dense{tag} AS (SELECT *, sum(count) OVER (PARTITION BY sample) AS lib, count / s
 
 
 def r6(c: Column | str) -> Column:
-    """Six decimals, with no negative zero."""
+    """Six decimals, with no negative zero; the shift settles exact halves the same way everywhere."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.when(F.abs(c) < 5e-7, F.lit(0.0)).otherwise(F.round(c, 6))
+    return F.when(F.abs(c) < 5e-7, F.lit(0.0)).otherwise(F.round(c + F.lit(1e-9), 6))
 
 
 def rounded(df: DataFrame, keys: list[str], floats: list[str]) -> DataFrame:
@@ -79,5 +79,5 @@ def rounded(df: DataFrame, keys: list[str], floats: list[str]) -> DataFrame:
 
 def rounded_sql(ctes: str, source: str, keys: list[str], floats: list[str]) -> str:
     q = [f'"{k}"' for k in keys]
-    f = [f'CASE WHEN abs("{c}") < 5e-7 THEN 0.0::DOUBLE ELSE round("{c}"::DOUBLE, 6) END AS "{c}"' for c in floats]
+    f = [f'CASE WHEN abs("{c}") < 5e-7 THEN 0.0::DOUBLE ELSE round("{c}"::DOUBLE + 1e-9, 6) END AS "{c}"' for c in floats]
     return f"WITH {ctes} SELECT {', '.join(q + f)} FROM {source}"
