@@ -54,9 +54,9 @@ def inputs_sql(name: str, o: FitOptions, guard: bool = True) -> str:
     return f"""{panel_sql(name)},
 spot AS (SELECT *, row_number() OVER (PARTITION BY subject, taxon ORDER BY time) AS rn, count(*) OVER (PARTITION BY subject, taxon) AS nn FROM dense),
 nz AS (SELECT subject, taxon, sum(CASE WHEN ra > 0 AND rn <= nn - {o.lag} THEN 1.0 ELSE 0.0 END) / greatest(max(nn) - {o.lag}, 1) AS nz FROM spot GROUP BY subject, taxon),
-part AS (SELECT d.*, nz.nz FROM dense d JOIN nz USING (subject, taxon)),
+kept_cells AS (SELECT d.*, nz.nz FROM dense d JOIN nz USING (subject, taxon)),
 pr0 AS (SELECT a.taxon AS i, b.taxon AS j, a.subject, a.time, a.lib, a.count / a.lib AS pi, b.count / b.lib AS pj, greatest(0.0, (a.lib - a.count - b.count) / a.lib) AS pr, a.nz AS nz_i, b.nz AS nz_j
-  FROM part a JOIN part b ON a.sample = b.sample AND a.taxon < b.taxon),
+  FROM kept_cells a JOIN kept_cells b ON a.sample = b.sample AND a.taxon < b.taxon),
 {rows_from_triplet(o, guard=guard)}"""
 
 
@@ -319,6 +319,8 @@ QUERIES = {
     "next_interval": interval_query(),
     "builder_hook": hook_query(),
     "fit_edges_smoothed": fit_query("type", "edges", EDGE_VALUES + ["elpd_mean", "elpd_sd", "elpd_se"], ["from", "to", "n_rows", "n_subjects", "folds_ok"]),
+    "fit_edges_brand": fit_query("brand", "edges", EDGE_VALUES + ["elpd_mean", "elpd_sd", "elpd_se"], ["from", "to", "n_rows", "n_subjects", "folds_ok"]),
+    "fit_edges_brand_no_folds": fit_query("brand", "edges", EDGE_VALUES, ["from", "to", "n_rows"], compute_elpd=False),
     "fit_edges_white_noise": fit_query("type", "edges", EDGE_VALUES, ["from", "to", "n_rows"], resid_mode="wn", smooth=False, compute_elpd=False),
     "fit_edges_subject_scaled": fit_query("events", "edges", EDGE_VALUES, ["from", "to", "n_rows"], smooth=False, compute_elpd=False),
     "fit_edges_smooth_log_ratio": fit_query("events", "edges", EDGE_VALUES, ["from", "to", "n_rows"], smooth_scale="alr", compute_elpd=False),

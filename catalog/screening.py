@@ -33,10 +33,10 @@ def subject_sql(name: str, o: ScreenOptions) -> str:
     ctes = f"""{panel_sql(name)},
 members AS (SELECT subject, taxon, min(CASE WHEN ra > 0 THEN ra END) AS low FROM dense GROUP BY subject, taxon
   HAVING count(*) >= {o.min_n} AND var_samp(ra) >= 1e-16 AND avg(CASE WHEN ra > 0 THEN 1.0 ELSE 0.0 END) >= {o.nz_partner_min_frac}),
-part AS (SELECT d.*, m.low FROM dense d JOIN members m ON d.subject = m.subject AND d.taxon = m.taxon),
+kept_cells AS (SELECT d.*, m.low FROM dense d JOIN members m ON d.subject = m.subject AND d.taxon = m.taxon),
 pr0 AS (SELECT a.taxon AS i, b.taxon AS j, a.subject, a.time, a.lib, a.count AS ci, b.count AS cj, {low_pair} AS low,
   a.count / a.lib AS pi, b.count / b.lib AS pj, greatest(0.0, (a.lib - a.count - b.count) / a.lib) AS pr{rest_low}
-  FROM part a JOIN part b ON a.sample = b.sample AND a.taxon < b.taxon{touching}),
+  FROM kept_cells a JOIN kept_cells b ON a.sample = b.sample AND a.taxon < b.taxon{touching}),
 """
     if o.transform == "alr":
         ctes += f"""pr1 AS (SELECT *, {eps} AS eps, pr AS rest FROM pr0),

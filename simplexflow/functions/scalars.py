@@ -73,23 +73,6 @@ def mix_weights(ratio_pair) -> list[float]:
     return [v / sum(values) for v in values]
 
 
-def normal_logpdf(y, mean, sd) -> Column:
-    z = (y - mean) / sd
-    return -0.5 * z * z - F.log(sd) - F.lit(0.5 * math.log(2 * math.pi))
-
-
-def student_logpdf(y, mean, scale, nu: float) -> Column:
-    """Location-scale t; the gamma terms of the fixed nu are literals."""
-    const = math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(nu * math.pi)
-    z = (y - mean) / scale
-    return F.lit(const) - F.log(scale) - F.lit((nu + 1) / 2) * F.log1p(z * z / F.lit(float(nu)))
-
-
-def days(ts: Column | str) -> Column:
-    """Timestamp as fractional days since the epoch."""
-    return F.unix_micros(col(ts)) / F.lit(86400e6)
-
-
 def check_choice(name: str, value, choices) -> None:
     if value not in choices:
         raise ValueError(f"{name} must be one of {', '.join(map(str, choices))}; got {value!r}")

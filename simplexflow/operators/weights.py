@@ -103,24 +103,23 @@ def stacking_weights(pointwise: DataFrame, per_row=False, min_models=2, min_subj
 
 
 def stack_by_passes(scores: DataFrame, steps: int, tol: float, check_every: int = 10) -> DataFrame:
-    """The stacking update on distributed scores; stops when no weight moves by ``tol``."""
-    tops = scores.groupBy("to", "subject").agg(F.max("s").alias("_top"))
-    p = cut(scores.join(tops, ["to", "subject"]).select("to", "from", "subject", F.exp(F.col("s") - F.col("_top")).alias("p")))
-    per = p.select("to", "from").distinct()
-    counts = per.groupBy("to").agg(F.count("*").alias("_m"))
-    w = per.join(counts, "to").select("to", "from", (1 / F.col("_m")).alias("weight"))
+    """The stacking update on distributed scores; stops when no weight moves by ``tol``.
+
+    Each step reads the scores once and ends in one small row per model, which is cut
+    from its lineage so that plans do not grow.
+    """
+    top = F.max("s").over(W.partitionBy("to", "subject"))
+    p = cut(scores.select("to", "from", "subject", F.exp(F.col("s") - top).alias("p")))
+    w = p.select("to", "from").distinct()
+    w = w.withColumn("weight", 1 / F.count("*").over(W.partitionBy("to")))
+    total = F.sum("_x").over(W.partitionBy("to", "subject"))
     for step in range(1, steps + 1):
         mixed = p.join(w, ["to", "from"]).withColumn("_x", F.col("p") * F.col("weight"))
-        total = mixed.groupBy("to", "subject").agg(F.sum("_x").alias("_t"))
-        new = mixed.join(total, ["to", "subject"]).groupBy("to", "from").agg(
-            F.avg(F.col("_x") / F.col("_t")).alias("weight"), F.max("weight").alias("_old")
-        )
-        if step % check_every == 0 or step == steps:
-            new = cut(new)
-            moved = new.agg(F.max(F.abs(F.col("weight") - F.col("_old")))).first()[0]
-            if moved < tol:
-                return new.select("to", "from", "weight")
+        new = cut(mixed.withColumn("_t", total).groupBy("to", "from").agg(
+            F.avg(F.col("_x") / F.col("_t")).alias("weight"), F.max("weight").alias("_old")))
         w = new.select("to", "from", "weight")
+        if step % check_every == 0 and new.agg(F.max(F.abs(F.col("weight") - F.col("_old")))).first()[0] < tol:
+            break
     return w
 
 
