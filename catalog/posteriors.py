@@ -180,6 +180,24 @@ o AS (SELECT ll."from", ll."to", ll.subject, max(n) AS n_obs, 'indep' AS elpd_me
     return run, rounded_sql(ctes, "o", ["from", "to", "subject", "n_obs", "elpd_method"], ["elpd", "elpd_ppd"])
 
 
+def replicate_query(nu):
+    """Log-likelihood of every row under every draw, summed per edge, and moments of replicated rows."""
+    def run(spark, sf):
+        panel, samples = build(spark, sf, "events")
+        inputs = pair_inputs(panel, samples, smooth=False)
+        wide = D.wide_draws(read_draws(edge_draws(spark, sf))).withColumn("pred_sd", D.predictive_sd("wn"))
+        rows = D.replicate(wide, inputs, nu)
+        if nu is None:
+            return rounded(rows.groupBy("from", "to").agg(F.count("*").alias("n"), F.avg("ll").alias("ll")), ["from", "to", "n"], ["ll"])
+        out = rows.groupBy("from", "to").agg(F.count("*").alias("n"), F.avg("ll").alias("ll"), F.avg("y_rep").alias("rep_mean"), F.stddev_samp("y_rep").alias("rep_sd"))
+        return rounded(out, ["from", "to", "n"], ["ll", "rep_mean", "rep_sd"])
+
+    ctes = f"""{inputs_sql('events', PLAIN)}, {EDGE_DRAWS},
+o AS (SELECT i."from", i."to", count(*) AS n, avg(-0.5 * pow((y - r0 - a_ii * xi - a_ij * xj) / sigma, 2) - ln(sigma) - 0.5 * ln(2 * pi())) AS ll
+  FROM inputs i JOIN ed d ON i."from" = d."from" AND i."to" = d."to" GROUP BY i."from", i."to")"""
+    return run, rounded_sql(ctes, "o", ["from", "to", "n"], ["ll"]) if nu is None else None
+
+
 def score_kalman_query():
     def run(spark, sf):
         panel, samples = build(spark, sf, "events")
@@ -266,6 +284,8 @@ QUERIES = {
     "log_mean_exp": log_mean_query(),
     "score_independent_normal": score_independent_query(None),
     "score_independent_student": score_independent_query(5.0),
+    "row_log_likelihood": replicate_query(None),
+    "replicated_rows": replicate_query(5.0),
     "score_kalman": score_kalman_query(),
     "weights_common_subjects": common_query(),
     "weights_pseudo_bma": pseudo_query(False),

@@ -236,22 +236,52 @@ def score_independent(wide: DataFrame, inputs: DataFrame, nu: float | None = Non
     return joined.groupBy(*EDGE, "subject", "chain", "iter").agg(F.count("*").alias("n_obs"), F.sum(row_ll).alias("ll"))
 
 
+def replicate(wide: DataFrame, inputs: DataFrame, nu: float | None = None, seed: int = 1234) -> DataFrame:
+    """Log-likelihood and a replicated ``y`` for every (row, draw) of an edge.
+
+    ``wide`` needs r0, a_ii, a_ij and pred_sd.  Replicates are normal with the standard
+    deviation of the fitted noise law, made from two hashed uniforms, so they do not
+    depend on partitioning.
+    """
+    mean = F.col("r0") + F.col("a_ii") * F.col("xi") + F.col("a_ij") * F.col("xj")
+    key = [*EDGE, "subject", "time", "chain", "iter"]
+
+    def uniform(part: int) -> Column:
+        bits = F.pmod(F.xxhash64(F.lit(int(seed)), F.lit(part), *key), F.lit(1 << 53)).cast("double")
+        return (bits + 0.5) / F.lit(float(1 << 53))
+
+    normal = F.sqrt(-2 * F.log(uniform(1))) * F.cos(F.lit(2 * np.pi) * uniform(2))
+    z = (F.col("y") - mean) / F.col("pred_sd")
+    if nu is None:
+        ll = -0.5 * z * z - F.log("pred_sd") - F.lit(0.5 * np.log(2 * np.pi))
+    else:
+        shrink = np.sqrt((nu - 2) / nu) if nu > 2 else 1.0
+        const = float(lgamma((nu + 1) / 2) - lgamma(nu / 2) - 0.5 * np.log(nu * np.pi) - np.log(shrink))
+        ll = F.lit(const) - F.log("pred_sd") - F.lit((nu + 1) / 2) * F.log1p(z * z / F.lit(shrink**2 * nu))
+    joined = inputs.join(wide, EDGE)
+    return joined.select(*key, "y", ll.alias("ll"), (mean + F.col("pred_sd") * normal).alias("y_rep"))
+
+
 def score_kalman(wide: DataFrame, inputs: DataFrame, nu: float | None = None, unit: float = 1.0) -> DataFrame:
     """Log-likelihood of each (edge, subject, draw) under OU noise, with a random intercept if ``tau_r``.
 
     Draws are cut into blocks; each subject's series visits every block of its edge.  In
-    a task the filter runs for a block of draws at once.
+    a task the filter runs for a block of draws at once.  A sampled ``nu`` goes before the
+    given one; without either the noise is normal.
     """
-    factor = 1.0 if nu is None else (nu / (nu - 2) if nu > 2 else 5.0)
+    scalar = 1.0 if nu is None else (nu / (nu - 2) if nu > 2 else 5.0)
+    sampled = F.when(F.col("nu") > 2, F.col("nu") / (F.col("nu") - 2)).when(F.col("nu").isNotNull(), F.lit(5.0))
+    noise = F.coalesce(sampled, F.lit(scalar))
     series = F.array_sort(F.collect_list(F.struct("time", "xi", "xj", "y")))
     packed = inputs.groupBy(*EDGE, "subject").agg(series.alias("_s"))
     packed = packed.select(*EDGE, "subject", *[F.col(f"_s.{c}").alias(f"s_{c}") for c in ("time", "xi", "xj", "y")])
     order = F.row_number().over(W.partitionBy(*EDGE, "chain").orderBy("iter"))
     blocks = wide.withColumn("_b", F.floor(order / F.lit(DRAWS_PER_BLOCK)))
-    item = F.struct("chain", "iter", "r0", "a_ii", "a_ij", "sigma", "sd_ou", "phi", F.coalesce("tau_r", F.lit(0.0)).alias("tau_r"))
+    item = F.struct("chain", "iter", "r0", "a_ii", "a_ij", "sigma", "sd_ou", "phi", F.coalesce("tau_r", F.lit(0.0)).alias("tau_r"),
+                    noise.alias("factor"))
     blocks = blocks.groupBy(*EDGE, "chain", "_b").agg(F.collect_list(item).alias("_d"))
     blocks = blocks.select(*EDGE, *[F.col(f"_d.{c}").alias(f"d_{c}") for c in
-                                    ("chain", "iter", "r0", "a_ii", "a_ij", "sigma", "sd_ou", "phi", "tau_r")])
+                                    ("chain", "iter", "r0", "a_ii", "a_ij", "sigma", "sd_ou", "phi", "tau_r", "factor")])
     joined = packed.join(blocks, EDGE)
 
     def job(frames):
@@ -261,7 +291,7 @@ def score_kalman(wide: DataFrame, inputs: DataFrame, nu: float | None = None, un
                 t = np.asarray(row.s_time, float)
                 cols = np.column_stack([np.ones(len(t)), row.s_xi, row.s_xj, row.s_y])[None]
                 gap = np.maximum(np.diff(t, prepend=t[:1]) / unit, 1e-6)[None]
-                v = np.asarray(row.d_sigma, float) ** 2 * factor
+                v = np.asarray(row.d_sigma, float) ** 2 * np.asarray(row.d_factor, float)
                 gram, logdet = G.whitened_gram(cols, gap, np.ones_like(gap), np.asarray(row.d_phi, float),
                                                np.asarray(row.d_sd_ou, float) ** 2 / v)
                 g, d = gram[0], logdet[0]

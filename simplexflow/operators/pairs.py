@@ -31,6 +31,14 @@ def keep_tiles_together(spark) -> None:
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition for work that costs far more than its input bytes suggest.
+
+    A fixed number keeps adaptive execution from merging small-looking partitions.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def support(cells: DataFrame) -> DataFrame:
     """(subject, taxon) sums over present cells; absent cells are zeros added by the caller."""
     nonzero = F.when(F.col("ra") > 0, 1).otherwise(0)
@@ -101,7 +109,7 @@ def pair_rows(
     names = {c: named.get(c, c) for c in ["taxon"] + carry + pick}
     li = li.select(*shared, "bi", "bj", *[F.col(c).alias(f"{n}_l") for c, n in names.items()])
     rj = rj.select("sample", *TILE, *[F.col(c).alias(f"{n}_r") for c, n in names.items()])
-    li, rj = li.repartition(*TILE), rj.repartition(*TILE)
+    li, rj = spread(li, *TILE), spread(rj, *TILE)
 
     rows = li.join(rj, [*TILE, "sample"])
     if one:

@@ -77,42 +77,45 @@ class Posterior:
     n: float
 
 
+def log_prior(phi, q, rho, v, factor: float):
+    """Prior of a grid point in (phi, log q, log rho, log v), up to a constant."""
+    noise_sd = np.sqrt(v)
+    sigma, tau = np.sqrt(v / factor), rho * noise_sd
+    out = -0.5 * (sigma / 0.5) ** 2 + np.log(sigma) - 0.5 * (tau / 0.5) ** 2 + np.log(tau)
+    if np.max(q) > 0:
+        share, sd_ou = (phi - 0.01) / 0.98, q * noise_sd
+        out = out - 0.5 * sd_ou**2 + np.log(sd_ou) + 7 * np.log(share) + np.log1p(-share)
+    return out
+
+
 def fit_grid(gram, logdet, n, grid: Grid, nu: float | None, keep: float = 1e-9) -> Posterior:
     """Weights of all grid points from summed cross products (G, R, 10) and (G, R).
 
     The noise scale gets its own points around its mode in every cell, spaced by its
-    posterior sd, so they stay fine however many rows there are.  Points lighter than
-    ``keep`` times the heaviest are left out.  ``edge_mass`` is the weight on the largest
-    phi and rho; a large q only says that there is hardly any white noise.
+    posterior sd, so they stay fine however many rows there are.  Cells whose mode is
+    below the best by 30 log units, and points lighter than ``keep`` times the heaviest,
+    are left out; ``edge_mass`` is the weight on the largest phi and rho (a large q only
+    says that there is hardly any white noise).
     """
     phi, q = grid.points
-    rho = np.array(grid.rho)
-    factor = student_factor(nu)
-    centre = noise_centre(gram, n)[..., None]
-    width = np.sqrt(2.0 / max(n, 1))
-    v = centre * np.exp(np.array(grid.steps) * width)
-    evidence = log_evidence(gram[..., None, :], logdet[..., None], n, v)
-    noise_sd = np.sqrt(v)
-    sigma, tau = np.sqrt(v / factor), rho[None, :, None] * noise_sd
-    prior = -0.5 * (sigma / 0.5) ** 2 + np.log(sigma) - 0.5 * (tau / 0.5) ** 2 + np.log(tau)
-    if q.max() > 0:
-        share = (phi - 0.01) / 0.98
-        sd_ou = q[:, None, None] * noise_sd
-        prior = prior - 0.5 * sd_ou**2 + np.log(sd_ou)
-        prior = prior + (7 * np.log(share) + np.log1p(-share))[:, None, None]
-    log_w = evidence + prior
+    rho, factor = np.array(grid.rho), student_factor(nu)
+    centre = noise_centre(gram, n)
+    mode = log_evidence(gram, logdet, n, centre) + log_prior(phi[:, None], q[:, None], rho[None, :], centre, factor)
+    cell = np.stack(np.nonzero(mode > mode.max() - 30))
+    g, d = gram[cell[0], cell[1]], logdet[cell[0], cell[1]]
+    v = centre[cell[0], cell[1]][:, None] * np.exp(np.array(grid.steps) * np.sqrt(2.0 / max(n, 1)))
+    evidence = log_evidence(g[:, None, :], d[:, None], n, v)
+    log_w = evidence + log_prior(phi[cell[0]][:, None], q[cell[0]][:, None], rho[cell[1]][:, None], v, factor)
     top = log_w.max()
     weight = np.exp(log_w - top)
     total = weight.sum()
-    edge = weight[:, -1].sum()
+    last = cell[1] == len(rho) - 1
     if q.max() > 0:
-        cells = weight.reshape(len(grid.phi), len(grid.q), len(rho), -1)
-        edge = cells[-1].sum() + cells[:-1, :, -1].sum()
-    chosen = np.nonzero(weight > keep)
-    cell = np.stack(chosen[:2])
+        last = last | (cell[0] >= len(phi) - len(grid.q))
+    row, step = np.nonzero(weight > keep)
     return Posterior(
-        cell, v[chosen], log_w[chosen] - top - np.log(total), evidence[chosen],
-        gram[chosen[0], chosen[1]], logdet[chosen[0], chosen[1]], float(edge / total), float(n),
+        cell[:, row], v[row, step], log_w[row, step] - top - np.log(total), evidence[row, step],
+        g[row], d[row], float(weight[last].sum() / total), float(n),
     )
 
 
@@ -121,15 +124,20 @@ def _mixture(w, mean, sd):
     centre = float((w * mean).sum())
     spread = float(np.sqrt(max((w * (sd**2 + (mean - centre) ** 2)).sum(), 0.0)))
     points = []
-    for target in (0.025, 0.975):
+    for target, start in ((0.025, -1.96), (0.975, 1.96)):
         low, high = centre - 12 * spread - 1e-12, centre + 12 * spread + 1e-12
-        for _ in range(40):
-            mid = (low + high) / 2
-            if (w * normal_cdf((mid - mean) / sd)).sum() < target:
-                low = mid
-            else:
-                high = mid
-        points.append((low + high) / 2)
+        x = centre + start * spread
+        for _ in range(60):
+            z = (x - mean) / sd
+            gap = float((w * normal_cdf(z)).sum()) - target
+            low, high = (x, high) if gap < 0 else (low, x)
+            slope = float((w * np.exp(-0.5 * z * z) / sd).sum()) / np.sqrt(2 * np.pi)
+            step = x - gap / slope if slope > 0 else np.inf
+            nxt = step if low < step < high else (low + high) / 2
+            if abs(nxt - x) < 1e-10 * spread:
+                break
+            x = nxt
+        points.append(x)
     return [centre, spread, points[0], points[1], float((w * normal_cdf(mean / sd)).sum())]
 
 

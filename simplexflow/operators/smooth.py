@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from simplexflow.functions.scalars import finite
+from simplexflow.operators.pairs import spread
 
 LOG_LAMBDAS = np.linspace(np.log(1e-9), np.log(1e4), 60)
 
@@ -122,16 +123,18 @@ def spline_udf(df=None, spar=None, cv=True, min_unique=3):
 
 
 def smooth_series(df: DataFrame, by: list[str], time: str, value: str, out: str = "smoothed", *, spline_df=None,
-                  spar=None, cv=True, min_unique=3, order=("sample",)) -> DataFrame:
+                  spar=None, cv=True, min_unique=3, order=("sample",), together=False) -> DataFrame:
     """Smooth ``value`` over ``time`` in each group; adds ``out`` and ``edf``.
 
     A group must be bounded: give the chunk as part of ``by``.  Every other column
-    rides along in the gathered row.
+    rides along in the gathered row.  ``together`` says that the rows of a group already
+    share a partition.
     """
     rest = [c for c in df.columns if c not in by]
     rows = F.array_sort(F.collect_list(F.struct(time, *[c for c in order if c in rest],
                                                 *[c for c in rest if c != time and c not in order])))
-    packed = df.filter(finite(time) & finite(value)).groupBy(*by).agg(rows.alias("_rows"))
+    usable = df.filter(finite(time) & finite(value))
+    packed = (usable if together else spread(usable, *by)).groupBy(*by).agg(rows.alias("_rows"))
     fitted = packed.withColumn("_fit", spline_udf(spline_df, spar, cv, min_unique)(f"_rows.{time}", f"_rows.{value}"))
     zipped = F.arrays_zip(F.col("_rows"), F.slice("_fit", F.lit(1), F.size("_rows")).alias("_v"))
     flat = fitted.select(*by, F.element_at("_fit", -1).alias("edf"), F.explode(zipped).alias("_z"))

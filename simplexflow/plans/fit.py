@@ -136,7 +136,7 @@ def regression_rows(pair_rows: DataFrame, profile: X.AxisProfile, o: FitOptions)
         for c in ("x", "y"):
             rows = smooth.smooth_series(
                 rows, [*P.TILE, "i", "j"], "group_time", c, f"_{c}s", spline_df=o.spline_df, spar=o.spline_spar,
-                cv=o.spline_cv, min_unique=o.min_unique_times,
+                cv=o.spline_cv, min_unique=o.min_unique_times, together=True,
             ).withColumn(c, F.col(f"_{c}s")).drop(f"_{c}s", "edf")
     out = I.directed_rows(rows, o.lag, o.transform, o.nz_partner_min_frac)
     if o.standardize_by_subject and not o.compute_elpd:
@@ -362,7 +362,7 @@ def run_edges(rows: DataFrame, axis: DataFrame, profile: X.AxisProfile, o: FitOp
     unit = float(span["span"] / span["gaps"]) if span["gaps"] else 1.0
     one_pass = facts["n"] <= o.task_rows and facts["s"] <= o.task_series
     long_subjects = not profile.one_chunk
-    series = series_arrays(rows)
+    series = P.spread(series_arrays(rows), "from", "to")
     if one_pass or not o.compute_elpd:
         return cut(series.groupBy("from", "to").applyInPandas(edge_job(o, unit, long_subjects, one_pass), OUT))
     series = cut(series)
