@@ -145,7 +145,7 @@ def merge_query(how, tol):
     """Event values merged at equal or near times for each user."""
     def run(spark, sf):
         e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("subject"),
-                                              F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3600e6)).cast("double").alias("time"), "value")
+                                              (F.unix_date(F.to_date("ts")) * 24 + F.hour("ts")).cast("double").alias("time"), "value")
         return rounded(X.merge_times(e, "time", ["subject"], ["value"], how, tol), ["subject"], ["time", "value"])
 
     pick = "median(value)" if how == "median" else "avg(value)"

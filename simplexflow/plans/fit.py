@@ -106,10 +106,11 @@ def dense_shares(panel: DataFrame, axis: DataFrame, seats: DataFrame, profile: X
         )
     if o.smooth and o.smooth_scale == "logra":
         dense = dense.withColumn("ra", F.col("count") / F.col("lib"))
-        dense = smooth.smooth_shares(
+        smoothed = smooth.smooth_shares(
             dense, ["subject", "chunk", "taxon"], "group_time", "ra", o.eps, "share", spline_df=o.spline_df,
             spar=o.spline_spar, cv=o.spline_cv, min_unique=o.min_unique_times,
-        ).drop("edf", "ra")
+        )
+        dense = cut(smoothed.drop("edf", "ra"))
     return dense
 
 

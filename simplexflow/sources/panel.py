@@ -33,11 +33,15 @@ def melt_panel(df: DataFrame, orient: str, key: str, columns=None) -> DataFrame:
 
 def read_samples(df: DataFrame, subject_col="subject", time_col="time", sample_col="sample") -> DataFrame:
     """Sample metadata under fixed names; an unreadable time becomes null."""
-    is_time = dict(df.dtypes)[time_col] in ("date", "timestamp", "timestamp_ntz")
-    if is_time:
-        time = F.unix_micros(F.col(time_col).cast("timestamp")) / F.lit(86400e6)
+    kind, c = dict(df.dtypes)[time_col], F.col(time_col)
+    if kind in ("date", "timestamp_ntz"):
+        # No zone is involved, so the day and the clock time are read as they stand.
+        clock = F.hour(c) * 3600 + F.minute(c) * 60 + F.extract(F.lit("SECOND"), c).cast("double") if kind != "date" else F.lit(0)
+        time = F.unix_date(c.cast("date")) + clock / F.lit(86400.0)
+    elif kind == "timestamp":
+        time = F.unix_micros(c) / F.lit(86400e6)
     else:
-        time = F.col(time_col).try_cast("double")
+        time = c.try_cast("double")
     return df.select(
         F.col(sample_col).cast("string").alias("sample"),
         F.col(subject_col).cast("string").alias("subject"),
