@@ -9,7 +9,7 @@ All lines of all documents take part, in four steps:
 1. distinct lines, as a 128-bit hash with first place, count and the hashes of their half lines,
    by one partial aggregate (a line that a third of the documents share is one row per task);
 2. of two lines within one edit, one half stands unchanged in both, so only lines that share a half with
-   another line go on, and only these are read again as text;
+   another line go on; these are read again as text and thinned out in the same way by sixteenths;
 3. each of them emits the keys of its deletion neighbourhood: the hash of the line and of all
    lines with one character less.  A line and a deletion variant that are equal are an insertion
    apart; two variants equal at the same place are a substitution apart.  Per key only the earliest
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from simplexflow.llm.tables import SPACES, row_key, spare
+from simplexflow.llm.tables import SPACES, maybe_in, row_key, spare
 from simplexflow.plans.lineage import cut
 
 LINE = ["a", "b"]  # the two halves of a line's hash
@@ -50,15 +50,19 @@ def line_rows(docs: DataFrame, id_col: str, text: str, min_words: int) -> DataFr
                         F.xxhash64("line", F.lit(1)).alias("b"), "line")
 
 
-def half_keys() -> Column:
-    """Hashes of prefix and suffix halves: for the line's own length and for one less."""
-    n = F.length("line")
+def piece_keys(pieces: int) -> Column:
+    """Hashes of a line without one of its pieces, for its own length and for one less.
+
+    Of two lines within one edit, cut as the shorter one is, all pieces but one stand unchanged:
+    those before it at the same place from the left, those after it at the same place from the right.
+    """
     keys = []
-    for side, lengths in ((0, (F.floor(n / 2), F.floor((n - 1) / 2))), (1, (F.ceil(n / 2), F.ceil((n - 1) / 2)))):
-        for size in lengths:
-            size = size.cast("int")
-            piece = F.substring(F.col("line"), F.lit(1), size) if side == 0 else F.substring(F.col("line"), n - size + 1, size)
-            keys.append(F.xxhash64(F.lit(side), size, piece))
+    for less in (0, 1):
+        n = F.length("line") - less
+        edge = lambda i, n=n: F.floor(n * i / pieces).cast("int")
+        for i in range(pieces):
+            rest = n - edge(i + 1)
+            keys.append(F.xxhash64(n, F.lit(i), F.substring(F.col("line"), F.lit(1), edge(i)), F.substring(F.col("line"), F.length("line") - rest + 1, rest)))
     return F.array_distinct(F.array(*keys))
 
 
@@ -109,17 +113,23 @@ def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (names, keys, kinds)], schema=KEYS)
 
 
-def near_lines(distinct: DataFrame, lines: DataFrame) -> DataFrame:
+def _sharing(rows: DataFrame, keys: str, names: list[str]) -> DataFrame:
+    """Names of rows that share one of their ``keys`` with another row."""
+    each = rows.select(*names, F.explode(keys).alias("key"))
+    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("n_lines")).where("n_lines > 1")
+    return each.join(shared, "key", "left_semi").select(*names).distinct()
+
+
+def near_lines(distinct: DataFrame, lines: DataFrame, fine: int = 16) -> DataFrame:
     """Hashes ``a``, ``b`` of lines that have an earlier line within one edit.
 
-    ``distinct``: a, b, first, halves.
+    ``distinct``: a, b, first, halves.  Lines that share all but one of two, then of ``fine`` pieces go on.
     """
-    halves = distinct.select(*LINE, F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n_lines")).where("n_lines > 1")
-    close = halves.join(shared, "half", "left_semi").select(*LINE).distinct().join(distinct.select(*LINE, "first"), LINE)
-    text = lines.join(close, LINE).where(F.col("place") == F.col("first")).select("first", *LINE, "line")
-    text = cut(text.withColumn("n", F.xxhash64(*LINE)))  # rows with equal place are copies of one row
-    text = text.dropDuplicates(["n"])
+    close = cut(_sharing(distinct, "halves", LINE).join(distinct.select(*LINE, "first"), LINE))
+    some = lines.where(maybe_in(close, "a")(F.col("a")))
+    text = some.join(close, LINE).where(F.col("place") == F.col("first")).select("first", *LINE, "line")
+    text = cut(text.withColumn("n", F.xxhash64(*LINE)).dropDuplicates(["n"]))  # rows with equal place are copies of one row
+    text = cut(text.join(_sharing(text.withColumn("keys", piece_keys(fine)), "keys", ["n"]), "n"))
     keys = text.select("n", "line").mapInArrow(_emit_keys, "n bigint, key bigint, kind tinyint")
     keys = keys.withColumn("group", F.when(F.col("kind") == 2, 2).otherwise(1)).join(text.select("n", "first"), "n")
     met = F.struct("first", "n")
@@ -138,11 +148,13 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", m
     """``id``, ``row_key`` and the sorted line numbers ``gone`` (from 0) of every document that loses lines."""
     lines = line_rows(docs, id_col, text, min_words)
     distinct = cut(lines.groupBy(*LINE).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n_places"),
-                                            F.first(half_keys()).alias("halves")))
+                                            F.first(piece_keys(2)).alias("halves")))
     near = near_lines(distinct, lines)
     out = distinct.select(*LINE, "first", "n_places").join(near.withColumn("near", F.lit(True)), LINE, "left")
     out = out.where("n_places > 1 or near").select(*LINE, "first", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = lines.select("place", *LINE).join(out, LINE).where(F.col("near") | (F.col("place") != F.col("first")))
+    out = cut(out)
+    some = lines.select("place", *LINE).where(maybe_in(out, "a")(F.col("a")))
+    gone = some.join(out, LINE).where(F.col("near") | (F.col("place") != F.col("first")))
     return gone.groupBy(F.col("place.id").alias("id"), F.col("place.row_key").alias("row_key")).agg(
         F.array_sort(F.collect_set("place.no")).alias("gone"))
 
@@ -160,12 +172,12 @@ def without_lines(texts: pd.Series, gone: pd.Series) -> pd.Series:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = 3, gone: str | None = None) -> DataFrame:
     """``docs`` with later copies of lines cut out; with ``gone`` also the dropped line numbers."""
-    number, key, other = spare(docs, "gone"), spare(docs, "row_key"), spare(docs, "other_id")
-    drops = dropped_lines(docs, id_col, text, min_words).select(F.col("id").alias(other), F.col("row_key").alias(key), F.col("gone").alias(number))
-    own = spare(docs, "own_key")
-    met = docs.withColumn(own, row_key(id_col, text)).join(
-        drops, F.col(id_col).eqNullSafe(F.col(other)) & (F.col(own) == F.col(key)), "left")
+    number, key, other, own = (spare(docs, name) for name in ("gone", "row_key", "other_id", "own_key"))
+    drops = cut(dropped_lines(docs, id_col, text, min_words).select(F.col("id").alias(other), F.col("row_key").alias(key), F.col("gone").alias(number)))
+    touched, keyed = maybe_in(drops, key), docs.withColumn(own, row_key(id_col, text))
+    same = keyed.where(~touched(F.col(own))).select(*docs.columns, *([F.lit(None).cast("array<int>").alias(gone)] if gone else []))
+    met = keyed.where(touched(F.col(own))).join(drops, F.col(id_col).eqNullSafe(F.col(other)) & (F.col(own) == F.col(key)), "left")
     some = F.col(number).isNotNull()
     shorter = without_lines(F.when(some, F.col(text)), F.when(some, F.col(number)))
     met = met.withColumn(text, F.when(some, shorter).otherwise(F.col(text)))
-    return met.select(*docs.columns, *([F.col(number).alias(gone)] if gone else []))
+    return same.unionByName(met.select(*docs.columns, *([F.col(number).alias(gone)] if gone else [])))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -28,3 +31,25 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
 def parts_for(rows: int, each: int) -> int:
     """Partitions so that each gets about ``each`` rows; grows with the data."""
     return max(1, -(-int(rows) // each))
+
+
+def maybe_in(keys: DataFrame, column: str, bits: int = 1 << 24):
+    """A test ``f(column)``: false only for 64-bit values that are not in ``keys``.
+
+    Thins out rows before a join that would shuffle their texts.  The table of bits has a fixed size
+    (2 MB), whatever the number of keys: many keys make it less selective, never wrong.
+    """
+    place = F.pmod(F.col(column), F.lit(bits))
+    rows = keys.select(place.alias("p")).distinct().groupBy(F.bitmap_bucket_number(F.col("p") + 1).alias("n")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(F.col("p") + 1)).alias("bits")).collect()
+    table = np.zeros(bits // 8, dtype=np.uint8)
+    for row in rows:
+        start = (row["n"] - 1) * 4096
+        table[start:start + 4096] = np.frombuffer(row["bits"], dtype=np.uint8)
+
+    @F.pandas_udf(BooleanType())
+    def found(values: pd.Series) -> pd.Series:
+        at = values.to_numpy(dtype=np.int64) & (bits - 1)
+        return pd.Series((table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    return lambda c: found.asNondeterministic()(c)
