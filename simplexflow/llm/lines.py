@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from simplexflow.llm.tables import SPACES, maybe_in, row_key, spare
+from simplexflow.llm.tables import SPACES, row_key, spare, split_by
 from simplexflow.plans.lineage import cut
 
 LINE = ["a", "b"]  # the two halves of a line's hash
@@ -126,7 +126,7 @@ def near_lines(distinct: DataFrame, lines: DataFrame, fine: int = 16) -> DataFra
     ``distinct``: a, b, first, halves.  Lines that share all but one of two, then of ``fine`` pieces go on.
     """
     close = cut(_sharing(distinct, "halves", LINE).join(distinct.select(*LINE, "first"), LINE))
-    some = lines.where(maybe_in(close, "a")(F.col("a")))
+    some, _ = split_by(lines, "a", close, "a")
     text = some.join(close, LINE).where(F.col("place") == F.col("first")).select("first", *LINE, "line")
     text = cut(text.withColumn("n", F.xxhash64(*LINE)).dropDuplicates(["n"]))  # rows with equal place are copies of one row
     text = cut(text.join(_sharing(text.withColumn("keys", piece_keys(fine)), "keys", ["n"]), "n"))
@@ -153,7 +153,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", m
     out = distinct.select(*LINE, "first", "n_places").join(near.withColumn("near", F.lit(True)), LINE, "left")
     out = out.where("n_places > 1 or near").select(*LINE, "first", F.coalesce("near", F.lit(False)).alias("near"))
     out = cut(out)
-    some = lines.select("place", *LINE).where(maybe_in(out, "a")(F.col("a")))
+    some, _ = split_by(lines.select("place", *LINE), "a", out, "a")
     gone = some.join(out, LINE).where(F.col("near") | (F.col("place") != F.col("first")))
     return gone.groupBy(F.col("place.id").alias("id"), F.col("place.row_key").alias("row_key")).agg(
         F.array_sort(F.collect_set("place.no")).alias("gone"))
@@ -174,9 +174,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     """``docs`` with later copies of lines cut out; with ``gone`` also the dropped line numbers."""
     number, key, other, own = (spare(docs, name) for name in ("gone", "row_key", "other_id", "own_key"))
     drops = cut(dropped_lines(docs, id_col, text, min_words).select(F.col("id").alias(other), F.col("row_key").alias(key), F.col("gone").alias(number)))
-    touched, keyed = maybe_in(drops, key), docs.withColumn(own, row_key(id_col, text))
-    same = keyed.where(~touched(F.col(own))).select(*docs.columns, *([F.lit(None).cast("array<int>").alias(gone)] if gone else []))
-    met = keyed.where(touched(F.col(own))).join(drops, F.col(id_col).eqNullSafe(F.col(other)) & (F.col(own) == F.col(key)), "left")
+    touched, same = split_by(docs.withColumn(own, row_key(id_col, text)), own, drops, key)
+    same = same.select(*docs.columns, *([F.lit(None).cast("array<int>").alias(gone)] if gone else []))
+    met = touched.join(drops, F.col(id_col).eqNullSafe(F.col(other)) & (F.col(own) == F.col(key)), "left")
     some = F.col(number).isNotNull()
     shorter = without_lines(F.when(some, F.col(text)), F.when(some, F.col(number)))
     met = met.withColumn(text, F.when(some, shorter).otherwise(F.col(text)))

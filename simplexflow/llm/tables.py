@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -33,23 +36,40 @@ def parts_for(rows: int, each: int) -> int:
     return max(1, -(-int(rows) // each))
 
 
-def maybe_in(keys: DataFrame, column: str, bits: int = 1 << 24):
-    """A test ``f(column)``: false only for 64-bit values that are not in ``keys``.
+def split_by(rows: DataFrame, column: str, keys: DataFrame, key: str, bits: int = 1 << 24) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two parts: those whose 64-bit ``column`` may be among the keys, and those where it is not.
 
     Thins out rows before a join that would shuffle their texts.  The table of bits has a fixed size
-    (2 MB), whatever the number of keys: many keys make it less selective, never wrong.
+    (2 MB), whatever the number of keys: many keys make it less selective, never wrong.  Rows stream
+    through ``mapInArrow``; a scalar UDF beside them would queue them on disk.
     """
-    place = F.pmod(F.col(column), F.lit(bits))
-    rows = keys.select(place.alias("p")).distinct().groupBy(F.bitmap_bucket_number(F.col("p") + 1).alias("n")).agg(
+    place = F.pmod(F.col(key), F.lit(bits))
+    found = keys.select(place.alias("p")).distinct().groupBy(F.bitmap_bucket_number(F.col("p") + 1).alias("n")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(F.col("p") + 1)).alias("bits")).collect()
     table = np.zeros(bits // 8, dtype=np.uint8)
-    for row in rows:
+    for row in found:
         start = (row["n"] - 1) * 4096
         table[start:start + 4096] = np.frombuffer(row["bits"], dtype=np.uint8)
 
-    @F.pandas_udf(BooleanType())
-    def found(values: pd.Series) -> pd.Series:
-        at = values.to_numpy(dtype=np.int64) & (bits - 1)
-        return pd.Series((table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+    def part(wanted: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.column(batch.schema.get_field_index(column)).to_numpy() & (bits - 1)
+                hit = (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                yield batch.filter(pa.array(hit if wanted else ~hit))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    return part(True), part(False)
+
 
-    return lambda c: found.asNondeterministic()(c)
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of ``spark.checkpoint.dir``; only a local session may use a temporary one."""
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        context.setCheckpointDir(folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
