@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from simplexflow.llm import decontaminate, lines, packing, quality, simhash
-from simplexflow.llm.tables import table
+from simplexflow.llm import decontaminate, lines, lmscore, packing, quality, simhash, toxicity, urls, warc
+from simplexflow.llm.tables import shared_folder, table
 from simplexflow.plans.lineage import cut
 
 
@@ -36,12 +36,42 @@ def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op6_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return urls.judged(table(spark, sf, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "block_probability")
+
+
 def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     clean = lines.dedup_lines(table(spark, sf, "documents"), gone="gone")
     return clean.select("doc_id", F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_dropped"),
                         F.length("text").cast("bigint").alias("clean_chars"), F.md5(F.col("text").cast("binary")).alias("clean_md5"))
 
 
+def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.judged(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def op9_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    good = table(spark, sf, "labels").where("quality = 1 and toxic = 0").select("doc_id").distinct().withColumn("good", F.lit(True))
+    return lmscore.score(docs, lmscore.train(docs.join(good, "doc_id", "left"), "good"))
+
+
+def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
+    folder = shared_folder(spark, "warc")
+    warc.write(table(spark, sf, "pages"), folder)
+    found = warc.resolved(warc.read(spark, folder))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT *, strlen(html) AS n, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, n AS payload_bytes, sha256(html) AS payload_digest,
+  CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
 SPACES_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 OP7_SQL = f"""
@@ -73,6 +103,10 @@ QUERIES = {
     "op3_best_fit_packing": (op3_best_fit_packing, None),
     "op4_simhash": (op4_simhash, None),
     "op5_decontamination": (op5_decontamination, None),
+    "op6_url_filter": (op6_url_filter, None),
     "op7_line_dedup": (op7_line_dedup, OP7_SQL),
+    "op8_toxicity": (op8_toxicity, None),
+    "op9_lm_scoring": (op9_lm_scoring, None),
+    "op10_warc": (op10_warc, OP10_SQL),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }

@@ -6,9 +6,9 @@ insult lower the value but do not hide it.  Words are lower-cased, bare of ASCII
 framed by start and end marks; runs of single letters are also read as one word.
 
 Training (only rows of the labelled table that are given): a bounded sample of labelled documents
-tells for each word in how many toxic and clean texts it stands; the words most tied to toxic texts are
-positive sentences, frequent words of clean texts and those that the first round scores
-highest are negative.  Landmarks are drawn from both, the features are K_mm^(-1/2) k(x), and a
+tells for each word in how many toxic and clean texts it stands; the words tied to toxic texts beyond
+chance are positive, also with one character put in; frequent words of clean texts, and those that
+the first round scores highest there, are negative.  Landmarks are drawn from both, the features are K_mm^(-1/2) k(x), and a
 squared-hinge SVM is fitted on them.  Its decision is linear in the kernel, hence linear in the
 subsequences: all landmarks fold into one weight table, exactly, and scoring a word costs a few
 lookups per letter.  A document's features are the largest decision, and how many of its words lie
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DECAY = 0.6
+DECAY = 0.5
 SPAN = 8
 #: Words scored once per worker and then kept (about 150 bytes each).
 CACHED_WORDS = 1_000_000
@@ -111,7 +111,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(features @ self.curve[1:] + self.curve[0], -30, 30)))
 
 
-def fit_svm(positive: list[bytes], negative: list[bytes], landmarks: list[bytes], cost: float = 4.0, steps: int = 400) -> tuple[np.ndarray, float]:
+def fit_svm(positive: list[bytes], negative: list[bytes], landmarks: list[bytes], cost: float = 50.0, steps: int = 400) -> tuple[np.ndarray, float]:
     """Weight table and bias of a squared-hinge SVM on Nystroem features, classes of equal weight."""
     words = positive + negative
     y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
@@ -211,7 +211,7 @@ def _described(table: np.ndarray, bias: float, names: int):
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", per_class: int = 4000,
-          n_positive: int = 600, n_negative: int = 2500, n_landmarks: int = 160) -> Model:
+          n_positive: int = 400, n_negative: int = 2500, n_landmarks: int = 240) -> Model:
     """``labels``: id and 0/1 of the rows to learn from.  At most ``per_class`` labelled documents of either kind
     (least hashes of their ids) are read; words and features of these alone reach the driver."""
     rows = labels.where(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(toxic).cast("bigint").alias("toxic"))
@@ -227,24 +227,25 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             return Model(np.zeros(1 << 18), 0.0, np.r_[odds, np.zeros(len(FEATURES))])
         counts = sample.mapInArrow(_word_sets, "word string, toxic bigint").groupBy("word").agg(
             F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-        lift = F.log((F.col("t") + 0.5) / (n1 + 1)) - F.log((F.col("c") + 0.5) / (n0 + 1))
-        tied = counts.where(F.col("t") >= 2).withColumn("lift", lift * F.sqrt(F.col("t"))).where(lift > 1.2)
-        positive = [r["word"].encode() for r in tied.orderBy(F.desc("lift"), "word").limit(n_positive).select("word").collect()]
-        frequent = counts.where((F.col("c") >= 2) & (lift < 0.3)).orderBy(F.desc("c"), "word").limit(n_negative).select("word").collect()
+        expected = n1 * (F.col("c") + 0.5) / (n0 + 1)  # toxic texts with the word, were it as frequent as in clean ones
+        tied = counts.withColumn("z", (F.col("t") - expected) / F.sqrt(expected + 1)).where("z > 4")
+        positive = [r["word"].encode() for r in tied.orderBy(F.desc("z"), "word").limit(n_positive).select("word").collect()]
+        frequent = counts.where((F.col("c") >= 2) & (F.col("t") < 1.5 * expected + 1)).orderBy(F.desc("c"), "word").limit(n_negative).select("word").collect()
         negative = [r["word"].encode() for r in frequent]
         if not positive or not negative:
             return Model(np.zeros(1 << 18), 0.0, np.r_[np.log(n1 / n0), np.zeros(len(FEATURES))])
+        gapped = [w[:i] + x + w[i:] for w in positive if len(w) > 4 and w.isascii() for x in (b"0", b"x") for i in range(1, len(w))]
+        known = set(positive)
         made = f"toxic bigint, {', '.join(f'{f} double' for f in FEATURES)}, words array<string>"
         for last in (False, True):
             landmarks = positive[:n_landmarks // 2] + negative[:n_landmarks // 4] + negative[-(n_landmarks // 4):]
-            table, bias = fit_svm(positive, negative, list(dict.fromkeys(landmarks)))
+            table, bias = fit_svm(positive + gapped, negative, list(dict.fromkeys(landmarks)))
             told = sample.mapInArrow(_described(table, bias, 3), made)
             if last:
                 told = told.drop("words").toPandas()
             else:
                 hard = told.where("toxic = 0").select(F.explode("words").alias("word")).distinct()
                 extra = [r["word"].encode() for r in hard.collect()]
-                known = set(positive)
                 negative = list(dict.fromkeys(negative + sorted(w for w in extra if w not in known)))
         x, y = told[list(FEATURES)].to_numpy(), told["toxic"].to_numpy(dtype=float)
         return Model(table, bias, fit_curve(x, y))
