@@ -29,25 +29,91 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from simplexflow.llm.tables import SPACES, row_key, spare, split_by
+from simplexflow.llm.tables import Bits, row_key, spare, split_by
 from simplexflow.plans.lineage import cut
 
 LINE = ["a", "b"]  # the two halves of a line's hash
+OUTER = b" \t\x0b\x0c\r"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def line_rows(docs: DataFrame, id_col: str, text: str, min_words: int) -> DataFrame:
-    """``place`` (id, row_key, no), hash ``a``, ``b`` and text of every line that counts."""
-    lines = docs.select(F.col(id_col).alias("id"), row_key(id_col, text).alias("row_key"), F.posexplode(F.split(text, "\n", -1)).alias("no", "raw"))
-    lines = lines.withColumn("line", F.trim(F.col("raw"), F.lit(SPACES)))
-    words = F.size(F.split("line", "[ \\t\\x0B\\f\\r]+", min_words))
-    lines = lines.where((words >= min_words) & (F.col("line") != ""))
-    return lines.select(F.struct("id", "row_key", "no").alias("place"), F.xxhash64("line").alias("a"),
-                        F.xxhash64("line", F.lit(1)).alias("b"), "line")
+def _line_scan(fields: list[str], types: pa.Schema, min_words: int, bits: Bits | None):
+    """Rows of the lines that count; with ``bits`` only of those whose hash may be among its keys.
+
+    Without ``bits`` equal lines of a partition are one row with their number and least place.
+    """
+
+    def place(row: tuple) -> tuple:
+        return (row[0] is not None, *row[:3])
+
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for no, raw in enumerate((text.as_py() or "").encode("utf-8", "surrogatepass").split(b"\n")):
+                line = raw.strip(OUTER)
+                if line and len(line.split(None, min_words - 1)) >= min_words:
+                    a = xxhash.xxh64_intdigest(line, 42)
+                    if bits is None or bits.hit(a):
+                        yield doc, key, no, line, a
+
+    def signed(h: int) -> int:
+        return h - (h >> 63 << 64)
+
+    def packed(table: dict[bytes, tuple]) -> pa.RecordBatch:
+        out = []
+        for line, (doc, key, no, n, a) in table.items():
+            text = line.decode("utf-8", "surrogatepass")
+            halves = [signed(xxhash.xxh64_intdigest(f"{side}|{size}|{part}".encode("utf-8", "surrogatepass"), 44)) for side, size, part in half_pieces(text)]
+            out.append((doc, key, no, signed(a), signed(xxhash.xxh64_intdigest(line, 43)), n, *halves))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), types)] if out else [pa.array([], f.type) for f in types], schema=types)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table: dict[bytes, tuple] = {}
+        for batch in batches:
+            if bits is None:
+                for doc, key, no, line, a in rows(batch):
+                    old = table.get(line)
+                    if old is None:
+                        table[line] = (doc, key, no, 1, a)
+                    else:
+                        table[line] = (*min(old[:3], (doc, key, no), key=place), old[3] + 1, a)
+                if len(table) > 20_000:
+                    yield packed(table)
+                    table = {}
+            else:
+                out = [(doc, key, no, signed(a), signed(xxhash.xxh64_intdigest(line, 43)), line.decode("utf-8", "surrogatepass"))[:len(fields)]
+                       for doc, key, no, line, a in rows(batch)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), types)] if out else [pa.array([], f.type) for f in types], schema=types)
+        if bits is None:
+            yield packed(table)
+
+    return run
+
+
+def half_pieces(line: str) -> list[tuple[int, int, str]]:
+    """Side, length and text of prefix and suffix halves: for the line's own length and for one less.
+
+    Of two lines within one edit one half stands unchanged; cut as the shorter one is, either the front at
+    the same place from the left or the back at the same place from the right.
+    """
+    n = len(line)
+    return [(0, n // 2, line[:n // 2]), (0, (n - 1) // 2, line[:(n - 1) // 2]), (1, (n + 1) // 2, line[n - (n + 1) // 2:]), (1, n // 2, line[n - n // 2:])]
+
+
+def line_rows(docs: DataFrame, id_col: str, text: str, min_words: int, bits: Bits | None = None, with_line: bool = False) -> DataFrame:
+    """Lines that count, as ``id, row_key, no, a, b``: with ``bits`` every place of the lines it lets through
+    (and their text), without it distinct lines per partition with number ``n`` and half hashes ``h0`` to ``h3``."""
+    rows = docs.select(F.col(id_col).alias("id"), row_key(id_col, text).alias("row_key"), F.col(text).alias("text"))
+    kind = rows.schema["id"].dataType
+    fields = ["id", "row_key", "no", "a", "b", *(["line"] if with_line else []), *(["n", "h0", "h1", "h2", "h3"] if bits is None else [])]
+    spark_types = {"id": kind, "no": IntegerType(), "line": StringType()}
+    schema = StructType([StructField(f, spark_types.get(f, LongType())) for f in fields])
+    return rows.mapInArrow(_line_scan(fields, to_arrow_schema(schema), min_words, bits), schema)
 
 
 def piece_keys(pieces: int) -> Column:
@@ -120,14 +186,15 @@ def _sharing(rows: DataFrame, keys: str, names: list[str]) -> DataFrame:
     return each.join(shared, "key", "left_semi").select(*names).distinct()
 
 
-def near_lines(distinct: DataFrame, lines: DataFrame, fine: int = 16) -> DataFrame:
+def near_lines(distinct: DataFrame, lines, fine: int = 16) -> DataFrame:
     """Hashes ``a``, ``b`` of lines that have an earlier line within one edit.
 
-    ``distinct``: a, b, first, halves.  Lines that share all but one of two, then of ``fine`` pieces go on.
+    ``distinct``: a, b, first, halves; ``lines(bits, with_line)`` gives the lines that ``bits`` lets through.  Lines that share all but one of two, then of ``fine`` pieces go on.
     """
     close = cut(_sharing(distinct, "halves", LINE).join(distinct.select(*LINE, "first"), LINE))
-    some, _ = split_by(lines, "a", close, "a")
-    text = some.join(close, LINE).where(F.col("place") == F.col("first")).select("first", *LINE, "line")
+    text = lines(Bits(close, "a"), True).join(close, LINE)
+    text = text.where(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("row_key") == F.col("first.row_key")) & (F.col("no") == F.col("first.no")))
+    text = text.select("first", *LINE, "line")
     text = cut(text.withColumn("n", F.xxhash64(*LINE)).dropDuplicates(["n"]))  # rows with equal place are copies of one row
     text = cut(text.join(_sharing(text.withColumn("keys", piece_keys(fine)), "keys", ["n"]), "n"))
     keys = text.select("n", "line").mapInArrow(_emit_keys, "n bigint, key bigint, kind tinyint")
@@ -146,17 +213,21 @@ def near_lines(distinct: DataFrame, lines: DataFrame, fine: int = 16) -> DataFra
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = 3) -> DataFrame:
     """``id``, ``row_key`` and the sorted line numbers ``gone`` (from 0) of every document that loses lines."""
-    lines = line_rows(docs, id_col, text, min_words)
-    distinct = cut(lines.groupBy(*LINE).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n_places"),
-                                            F.first(piece_keys(2)).alias("halves")))
+    first = F.min(F.struct("id", "row_key", "no"))
+    halves = F.array(*[F.first(f"h{k}") for k in range(4)])
+    distinct = cut(line_rows(docs, id_col, text, min_words).groupBy(*LINE).agg(
+        first.alias("first"), F.sum("n").alias("n_places"), F.array_distinct(halves).alias("halves")))
+
+    def lines(bits: Bits, with_line: bool = False) -> DataFrame:
+        return line_rows(docs, id_col, text, min_words, bits, with_line)
+
     near = near_lines(distinct, lines)
     out = distinct.select(*LINE, "first", "n_places").join(near.withColumn("near", F.lit(True)), LINE, "left")
     out = out.where("n_places > 1 or near").select(*LINE, "first", F.coalesce("near", F.lit(False)).alias("near"))
     out = cut(out)
-    some, _ = split_by(lines.select("place", *LINE), "a", out, "a")
-    gone = some.join(out, LINE).where(F.col("near") | (F.col("place") != F.col("first")))
-    return gone.groupBy(F.col("place.id").alias("id"), F.col("place.row_key").alias("row_key")).agg(
-        F.array_sort(F.collect_set("place.no")).alias("gone"))
+    here = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("row_key") == F.col("first.row_key")) & (F.col("no") == F.col("first.no"))
+    gone = lines(Bits(out, "a")).join(out, LINE).where(F.col("near") | ~here)
+    return gone.groupBy("id", "row_key").agg(F.array_sort(F.collect_set("no")).alias("gone"))
 
 
 @F.pandas_udf(StringType())
@@ -174,7 +245,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     """``docs`` with later copies of lines cut out; with ``gone`` also the dropped line numbers."""
     number, key, other, own = (spare(docs, name) for name in ("gone", "row_key", "other_id", "own_key"))
     drops = cut(dropped_lines(docs, id_col, text, min_words).select(F.col("id").alias(other), F.col("row_key").alias(key), F.col("gone").alias(number)))
-    touched, same = split_by(docs.withColumn(own, row_key(id_col, text)), own, drops, key)
+    touched, same = split_by(docs.withColumn(own, row_key(id_col, text)), own, Bits(drops, key))
     same = same.select(*docs.columns, *([F.lit(None).cast("array<int>").alias(gone)] if gone else []))
     met = touched.join(drops, F.col(id_col).eqNullSafe(F.col(other)) & (F.col(own) == F.col(key)), "left")
     some = F.col(number).isNotNull()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from simplexflow.llm import decontaminate, lines, lmscore, packing, quality, simhash, toxicity, urls, warc
+from simplexflow.llm import decontaminate, licenses, lines, lmscore, packing, quality, simhash, toxicity, urls, warc
 from simplexflow.llm.tables import shared_folder, table
 from simplexflow.plans.lineage import cut
 
@@ -23,6 +23,10 @@ def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
                                         "quality")
 
 
+def op2_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan(table(spark, sf, "documents")).withColumn("coverage", F.round("coverage", 6))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"), tokenizer_path())
 
@@ -100,6 +104,7 @@ FROM documents d LEFT JOIN per USING (doc_id)
 
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, None),
+    "op2_license_scan": (op2_license_scan, None),
     "op3_best_fit_packing": (op3_best_fit_packing, None),
     "op4_simhash": (op4_simhash, None),
     "op5_decontamination": (op5_decontamination, None),

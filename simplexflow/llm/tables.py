@@ -36,26 +36,43 @@ def parts_for(rows: int, each: int) -> int:
     return max(1, -(-int(rows) // each))
 
 
-def split_by(rows: DataFrame, column: str, keys: DataFrame, key: str, bits: int = 1 << 24) -> tuple[DataFrame, DataFrame]:
+class Bits:
+    """A test on 64-bit values that is false only for values not among the keys of ``keys[key]``.
+
+    The table of bits has a fixed size (2 MB), whatever the number of keys: many keys make it less
+    selective, never wrong.  It thins out rows before a join that would shuffle their texts.
+    """
+
+    def __init__(self, keys: DataFrame, key: str, bits: int = 1 << 24):
+        self.mask = bits - 1
+        place = F.pmod(F.col(key), F.lit(bits))
+        found = keys.select(place.alias("p")).distinct().groupBy(F.bitmap_bucket_number(F.col("p") + 1).alias("n")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position(F.col("p") + 1)).alias("bits")).collect()
+        table = bytearray(bits // 8)
+        for row in found:
+            start = (row["n"] - 1) * 4096
+            table[start:start + 4096] = row["bits"]
+        self.table = bytes(table)
+
+    def hit(self, value: int) -> bool:
+        at = value & self.mask
+        return bool(self.table[at >> 3] >> (at & 7) & 1)
+
+    def hits(self, values: np.ndarray) -> np.ndarray:
+        at = values & self.mask
+        return (np.frombuffer(self.table, dtype=np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def split_by(rows: DataFrame, column: str, bits: Bits) -> tuple[DataFrame, DataFrame]:
     """``rows`` in two parts: those whose 64-bit ``column`` may be among the keys, and those where it is not.
 
-    Thins out rows before a join that would shuffle their texts.  The table of bits has a fixed size
-    (2 MB), whatever the number of keys: many keys make it less selective, never wrong.  Rows stream
-    through ``mapInArrow``; a scalar UDF beside them would queue them on disk.
+    Rows stream through ``mapInArrow``; a scalar UDF beside them would queue them on disk.
     """
-    place = F.pmod(F.col(key), F.lit(bits))
-    found = keys.select(place.alias("p")).distinct().groupBy(F.bitmap_bucket_number(F.col("p") + 1).alias("n")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(F.col("p") + 1)).alias("bits")).collect()
-    table = np.zeros(bits // 8, dtype=np.uint8)
-    for row in found:
-        start = (row["n"] - 1) * 4096
-        table[start:start + 4096] = np.frombuffer(row["bits"], dtype=np.uint8)
 
     def part(wanted: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at = batch.column(batch.schema.get_field_index(column)).to_numpy() & (bits - 1)
-                hit = (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                hit = bits.hits(batch.column(batch.schema.get_field_index(column)).to_numpy())
                 yield batch.filter(pa.array(hit if wanted else ~hit))
 
         return rows.mapInArrow(run, rows.schema)

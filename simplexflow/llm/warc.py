@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simplexflow.llm.tables import split_by
+from simplexflow.llm.tables import Bits, split_by
 from simplexflow.plans.lineage import cut
 
 MARK = "WARC/1.1\r\n"
@@ -43,7 +43,7 @@ def with_responses(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     long = F.octet_length("payload") >= min_bytes
     same = rows.where(long).groupBy("digest", "key").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     same = cut(same.select("digest", "key", "first"))
-    met, alone = split_by(rows, "key", same, "key")
+    met, alone = split_by(rows, "key", Bits(same, "key"))
     alone = alone.withColumn("first", F.lit(None).cast("bigint"))
     met = met.join(same.drop("key"), "digest", "left")  # none of the short ones has a first
     met = met.withColumn("first", F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first")))
@@ -194,7 +194,7 @@ def read(spark: SparkSession, folder: str, region: int = REGION) -> DataFrame:
     whole = F.col("reached") & (F.col("size") == F.col("length"))
     special = cut(spots.where(~whole).select("file", "block", "local", "off", "succ", "reached", F.xxhash64("file", "block", "local").alias("key")))
     body = pieces(spark, folder, True).withColumn("key", F.xxhash64("file", "block", "local")).where((F.col("block") > 0) | (F.col("local") >= 0))
-    met, plain = split_by(body, "key", special, "key")
+    met, plain = split_by(body, "key", Bits(special, "key"))
     plain = plain.select("raw")
     met = met.join(special.drop("key"), ["file", "block", "local"], "left")
     plain = plain.unionByName(met.where("off is null").select("raw"))
