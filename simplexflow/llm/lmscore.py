@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from simplexflow.llm.tables import Bits, spare, split_by
 from simplexflow.plans.lineage import cut
 
 #: Number of the line start and of the unknown word.
@@ -133,9 +134,24 @@ def _side(size: int, bigrams: np.ndarray, kept: np.ndarray, singles: list, marke
     return Side(word, history, kept, kept_of)
 
 
-def train(docs: DataFrame, mark: str, text: str = "text", min_share: int = 300_000, weight: float = 0.6) -> Models:
-    """Both models from ``docs``; ``mark`` names the boolean column of target documents."""
-    counted = docs.select(text).mapInArrow(_count_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+def marked(docs: DataFrame, ids: DataFrame, mark: str, doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` with a boolean column: whether the id is among ``ids`` (one column of that name).
+
+    Only rows that may be among them are shuffled, at every size, and a null id is not.
+    """
+    key, own = spare(docs, "id_key"), spare(docs, mark + "_id")
+    some = ids.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias(own)).distinct()
+    near, far = split_by(docs.withColumn(key, F.xxhash64(doc_id)), key, Bits(some.withColumn(key, F.xxhash64(own)), key))
+    near = near.join(some.hint("merge"), F.col(doc_id) == F.col(own), "left").withColumn(mark, F.col(own).isNotNull())
+    return near.select(*docs.columns, mark).unionByName(far.withColumn(mark, F.lit(False)).select(*docs.columns, mark))
+
+
+def train(docs: DataFrame, mark: str, text: str = "text", min_share: int = 300_000, weight: float = 0.6, whole: DataFrame | None = None) -> Models:
+    """Both models from ``docs``; ``mark`` names the boolean column of target documents.
+
+    ``whole`` may give the same rows without the mark, where making the mark costs a shuffle.
+    """
+    counted = (docs if whole is None else whole).select(text).mapInArrow(_count_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     counted = cut(counted)
     total = counted.agg(F.sum("n")).first()[0] or 0
     words = [bytes(r["word"]) for r in counted.where(F.col("n") * min_share >= total).select("word").collect()]  # at most min_share
