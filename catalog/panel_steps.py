@@ -274,16 +274,16 @@ def effective_query(method):
         l = table(spark, sf, "lineitem")
         s = l.groupBy("l_suppkey", (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("double").alias("time")).agg(
             F.avg("l_quantity").alias("x"), F.avg("l_discount").alias("y"))
-        out = A.effective_n(s, by=["l_suppkey"], method=method, max_lag=12)
+        out = A.effective_n(s, by=["l_suppkey"], method=method)
         return rounded(out, ["l_suppkey", "n"], ["n_eff"])
 
-    bound = {"nw": "greatest(1, floor(4 * pow(n / 100.0, 2.0 / 9.0)))", "bartlett": "least(12, floor(sqrt(n)))", "ar1": "1"}[method]
+    bound = {"nw": "greatest(1, floor(4 * pow(n / 100.0, 2.0 / 9.0)))", "bartlett": "floor(sqrt(n))", "ar1": "1"}[method]
     value = "n * (1 - greatest(-0.95, least(0.95, s1))) / (1 + greatest(-0.95, least(0.95, s1)))" if method == "ar1" else "n / greatest(1e-6, 1 + 2 * sw)"
     ctes = f"""s AS (SELECT l_suppkey, CAST(year(l_shipdate) * 12 + month(l_shipdate) AS DOUBLE) AS time, avg(l_quantity) AS x, avg(l_discount) AS y FROM lineitem GROUP BY 1, 2),
 d AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY time) AS rn, count(*) OVER (PARTITION BY l_suppkey) AS n, x - avg(x) OVER (PARTITION BY l_suppkey) AS dx, y - avg(y) OVER (PARTITION BY l_suppkey) AS dy FROM s),
 b AS (SELECT l_suppkey, count(*) AS n, {bound.replace('n ', 'count(*) ').replace('sqrt(n)', 'sqrt(count(*))')} AS lags, sum(dx * dx) AS cx, sum(dy * dy) AS cy FROM d GROUP BY l_suppkey),
 r AS (SELECT a.l_suppkey, k.k, greatest(-0.99, least(0.99, sum(a.dx * c.dx) / max(cx))) * greatest(-0.99, least(0.99, sum(a.dy * c.dy) / max(cy))) AS rr, max(lags) AS lags
-  FROM d a JOIN b USING (l_suppkey) JOIN (SELECT unnest(range(1, 13)) AS k) k ON k.k <= lags JOIN d c ON c.l_suppkey = a.l_suppkey AND c.rn = a.rn + k.k GROUP BY a.l_suppkey, k.k),
+  FROM d a JOIN b USING (l_suppkey) JOIN (SELECT unnest(range(1, (SELECT CAST(max(lags) AS BIGINT) + 1 FROM b))) AS k) k ON k.k <= lags JOIN d c ON c.l_suppkey = a.l_suppkey AND c.rn = a.rn + k.k GROUP BY a.l_suppkey, k.k),
 t AS (SELECT l_suppkey, sum((1 - k / (lags + 1.0)) * rr) AS sw, sum(CASE WHEN k = 1 THEN rr END) AS s1 FROM r GROUP BY l_suppkey),
 o AS (SELECT l_suppkey, n, CASE WHEN n >= 5 THEN greatest(4.0, least(n, {value})) END AS n_eff FROM b JOIN t USING (l_suppkey))"""
     return run, rounded_sql(ctes, "o", ["l_suppkey", "n"], ["n_eff"])

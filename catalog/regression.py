@@ -105,12 +105,12 @@ def plain_inputs(spark, sf):
 
 def scale_subject():
     def run(spark, sf):
-        return rounded(I.zscore(plain_inputs(spark, sf), ["from", "to", "subject"], ["xi", "xj"], 1.5), ROW_KEYS, ROW_FLOATS)
+        return rounded(I.zscore(plain_inputs(spark, sf), ["from", "to", "subject"], ["xi", "xj", "y"], 1.5), ROW_KEYS, ROW_FLOATS)
 
     w = 'OVER (PARTITION BY "from", "to", subject)'
     z = 'greatest(-1.5, least(1.5, ({c} - avg({c}) {w}) / (CASE WHEN stddev_samp({c}) {w} > 0 THEN stddev_samp({c}) {w} ELSE 1.0 END))) AS {c}'
     ctes = f"""{inputs_sql('events', PLAIN)},
-z AS (SELECT "from", "to", subject, time, y, {z.format(c='xi', w=w)}, {z.format(c='xj', w=w)} FROM inputs)"""
+z AS (SELECT "from", "to", subject, time, {z.format(c='y', w=w)}, {z.format(c='xi', w=w)}, {z.format(c='xj', w=w)} FROM inputs)"""
     return run, rounded_sql(ctes, "z", ROW_KEYS, ROW_FLOATS)
 
 
@@ -127,8 +127,8 @@ def scale_global():
         return rounded(I.apply_scale(rows, scales, ["from", "to"]), ROW_KEYS, ROW_FLOATS)
 
     ctes = f"""{inputs_sql('events', PLAIN)},
-sc AS (SELECT "from", "to", avg(xi) AS mi, stddev_samp(xi) AS si, avg(xj) AS mj, stddev_samp(xj) AS sj FROM inputs GROUP BY "from", "to"),
-z AS (SELECT "from", "to", subject, time, y, (xi - mi) / si AS xi, (xj - mj) / sj AS xj FROM inputs JOIN sc USING ("from", "to"))"""
+sc AS (SELECT "from", "to", avg(xi) AS mi, stddev_samp(xi) AS si, avg(xj) AS mj, stddev_samp(xj) AS sj, avg(y) AS my, stddev_samp(y) AS sy FROM inputs GROUP BY "from", "to"),
+z AS (SELECT "from", "to", subject, time, (y - my) / sy AS y, (xi - mi) / si AS xi, (xj - mj) / sj AS xj FROM inputs JOIN sc USING ("from", "to"))"""
     return run, rounded_sql(ctes, "z", ROW_KEYS, ROW_FLOATS)
 
 
@@ -140,8 +140,8 @@ def scale_train():
         return rounded(I.apply_scale(test, I.scale_table(train, ["from", "to"]), ["from", "to"]), ROW_KEYS, ROW_FLOATS)
 
     ctes = f"""{inputs_sql('events', PLAIN)},
-sc AS (SELECT "from", "to", avg(xi) AS mi, stddev_samp(xi) AS si, avg(xj) AS mj, stddev_samp(xj) AS sj FROM inputs WHERE CAST(subject AS INT) % 5 <> 1 GROUP BY "from", "to"),
-z AS (SELECT "from", "to", subject, time, y, (xi - mi) / si AS xi, (xj - mj) / sj AS xj FROM inputs JOIN sc USING ("from", "to") WHERE CAST(subject AS INT) % 5 = 1)"""
+sc AS (SELECT "from", "to", avg(xi) AS mi, stddev_samp(xi) AS si, avg(xj) AS mj, stddev_samp(xj) AS sj, avg(y) AS my, stddev_samp(y) AS sy FROM inputs WHERE CAST(subject AS INT) % 5 <> 1 GROUP BY "from", "to"),
+z AS (SELECT "from", "to", subject, time, (y - my) / sy AS y, (xi - mi) / si AS xi, (xj - mj) / sj AS xj FROM inputs JOIN sc USING ("from", "to") WHERE CAST(subject AS INT) % 5 = 1)"""
     return run, rounded_sql(ctes, "z", ROW_KEYS, ROW_FLOATS)
 
 

@@ -78,28 +78,56 @@ def t_quantile(p, df):
     return (low + high) / 2
 
 
-def gamma_upper(a, x, steps=500):
-    """Regularised upper incomplete gamma Q(a, x): series below a + 1, fraction above."""
+#: From this shape on, the uniform expansion is used; its error is below 1e-9 there.
+LARGE_SHAPE = 1000.0
+
+
+def _gamma_upper_large(a, x):
+    """Temme's uniform expansion of Q(a, x) with two terms, good near and far from x = a."""
+    mu = (x - a) / a
+    with np.errstate(divide="ignore", invalid="ignore"):
+        eta = np.sign(mu) * np.sqrt(np.maximum(2 * (mu - np.log1p(mu)), 0.0))
+        far0 = 1 / mu - 1 / eta
+        far1 = 1 / eta**3 - 1 / mu**3 - 1 / mu**2 - 1 / (12 * mu)
+        near = np.abs(eta) < 0.05
+        c0 = np.where(near, -1 / 3 + eta / 12 - 2 * eta**2 / 135 + eta**3 / 864 + eta**4 / 2835, far0)
+        c1 = np.where(near, -1 / 540 - eta / 288 + 25 * eta**2 / 12096, far1)
+        rest = np.exp(-0.5 * a * eta * eta) / np.sqrt(2 * np.pi * a) * (c0 + c1 / a)
+    return 0.5 * np.asarray(_erfc(eta * np.sqrt(a / 2)), float) + rest
+
+
+def gamma_upper(a, x):
+    """Regularised upper incomplete gamma Q(a, x): series below a + 1, fraction above, an expansion for large a."""
     a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
-    safe = np.maximum(x, 1e-300)
-    front = np.exp(a * np.log(safe) - safe - lgamma(a))
-    term = 1 / a
+    large = a >= LARGE_SHAPE
+    shape = np.where(large, 1.0, a)
+    safe = np.where(large, 1.0, np.maximum(x, 1e-300))
+    front = np.exp(shape * np.log(safe) - safe - lgamma(shape))
+    term = 1 / shape
     total = term.copy()
     with np.errstate(over="ignore", invalid="ignore"):
-        for n in range(1, steps):
-            term = term * safe / (a + n)
+        below = safe < shape + 1
+        n = 0
+        while (below & (term > 1e-17 * total)).any():
+            n += 1
+            term = term * safe / (shape + n)
             total = total + term
-        b = safe + 1 - a
+        b = safe + 1 - shape
         c = np.full_like(b, 1e300)
         d = 1 / np.where(b == 0, 1e-300, b)
         h = d.copy()
-        for n in range(1, steps):
-            an = -n * (n - a)
+        n, moved = 0, ~below
+        while moved.any():
+            n += 1
+            an = -n * (n - shape)
             b = b + 2
             d = 1 / np.where(np.abs(an * d + b) < 1e-300, 1e-300, an * d + b)
             c = np.where(np.abs(b + an / c) < 1e-300, 1e-300, b + an / c)
             h = h * d * c
-        out = np.where(safe < a + 1, 1 - front * total, front * h)
+            moved = moved & (np.abs(d * c - 1) > 1e-16) & (n < 100_000)
+        out = np.where(below, 1 - front * total, front * h)
+    if large.any():
+        out = np.where(large, _gamma_upper_large(np.where(large, a, LARGE_SHAPE), np.where(large, np.maximum(x, 1e-300), LARGE_SHAPE)), out)
     return np.where(x <= 0, 1.0, np.clip(out, 0.0, 1.0))
 
 

@@ -123,36 +123,33 @@ def adjusted_n(n: Column, raw: Column, blend=0.5, min_frac=0.6) -> Column:
     return F.greatest(F.lit(3.0), F.floor(F.greatest(mixed, F.lit(min_frac) * n)).cast("double"))
 
 
-def effective_n(df, x="x", y="y", time="time", by=("subject",), method="nw", max_lag=8, bandwidth=None) -> DataFrame:
-    """Effective length of a pair of series for each group, one row per group."""
-    by = list(by)
-    lags = 1 if method == "ar1" else max_lag
-    rows = lagged_values(df, [x, y], lags, by, time)
-    sums = rows.groupBy(*by).agg(*[c.alias(k) for k, c in {**moment_sums([x, y]), **lag_sums([x, y], lags)}.items()])
-    sums = with_autocorrelation(sums, [x, y], lags)
-    return sums.select(*by, "n", raw_effective_n(x, y, lags, method, bandwidth).alias("n_eff"))
-
-
-def plain_correlation(x: str, y: str) -> Column:
-    """Correlation of two summed columns."""
-    pair = f"s_{x}{y}"
-    return corr_from_sums(*[F.col(c) for c in ("n", f"s_{x}", f"s_{y}", f"s_{x}{x}", f"s_{y}{y}", pair)])
-
+def effective_n(df, x="x", y="y", time="time", by=("subject",), method="nw", bandwidth=None) -> DataFrame:
+    """Effective length of a pair of series for each group, one row per group.
 
-def with_rest_correlation(sums: DataFrame, x: str, y: str, z: str, rest_var: str, floor: float) -> DataFrame:
-    """Add ``r``: partial correlation given the rest, or plain when the rest hardly varies."""
-    parts = {"_rxy": plain_correlation(x, y), "_rxz": plain_correlation(x, z), "_ryz": plain_correlation(y, z)}
-    usable = (F.col(rest_var) >= F.lit(1e-12)) & (F.col("n") >= 3)
-    partial = partial_corr(F.col("_rxy"), F.col("_rxz"), F.col("_ryz"), floor)
-    return sums.withColumns(parts).withColumn("r", F.when(usable, partial).otherwise(F.col("_rxy")))
-
-
-def detrend(df: DataFrame, by: list[str], time: str, cols: list[str]) -> DataFrame:
-    """Residuals of a straight line in time for series of three rows or more."""
-    w = W.partitionBy(*by)
-    out = df
-    for c in cols:
-        line = F.regr_intercept(c, time).over(w) + F.regr_slope(c, time).over(w) * F.col(time)
-        fit = F.when(F.count("*").over(w) >= 3, F.col(c) - line)
-        out = out.withColumn(f"_fit_{c}", fit)
-    return out.withColumns({c: F.coalesce(f"_fit_{c}", c) for c in cols}).drop(*[f"_fit_{c}" for c in cols])
+    Every series is summed over as many lags as its own length asks for; lags are rows of
+    a table, so the plan does not grow with them.
+    """
+    by = list(by)
+    rows = df.select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"), F.row_number().over(W.partitionBy(*by).orderBy(time)).alias("_at"))
+    stats = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"))
+    rows = rows.join(stats.withColumn("_lags", lag_bound(F.col("n"), method, bandwidth).cast("int")), by)
+    rows = rows.select(*by, "n", "_lags", "_at", (F.col("_x") - F.col("_mx")).alias("_x"), (F.col("_y") - F.col("_my")).alias("_y"))
+    last = F.least(F.col("_lags"), (F.col("n") - F.col("_at")).cast("int"))
+    lags = F.when(last >= 1, F.sequence(F.lit(1), last))
+    ahead = rows.select(*by, F.col("_at").alias("_from"), F.col("_x").alias("_px"), F.col("_y").alias("_py"), F.explode(lags).alias("_k"))
+    ahead = ahead.withColumn("_at", F.col("_from") + F.col("_k"))
+    product = ahead.join(rows.select(*by, "_at", "_x", "_y"), [*by, "_at"]).groupBy(*by, "_k").agg(
+        F.sum(F.col("_px") * F.col("_x")).alias("_cx"), F.sum(F.col("_py") * F.col("_y")).alias("_cy"))
+    zero = rows.groupBy(*by, "n").agg(F.sum(F.col("_x") * F.col("_x")).alias("_x0"), F.sum(F.col("_y") * F.col("_y")).alias("_y0"))
+    rho = lambda c, c0: clamp(F.coalesce(ratio(F.col(c), F.col(c0)), F.lit(0.0)), -0.99, 0.99)
+    both = product.join(zero, by).select(*by, "n", "_k", (rho("_cx", "_x0") * rho("_cy", "_y0")).alias("_rr"))
+    weight = F.lit(1.0) if method == "ar1" else F.greatest(F.lit(0.0), 1 - F.col("_k") / (lag_bound(F.col("n"), method, bandwidth) + 1))
+    total = both.groupBy(*by).agg(F.sum(weight * F.col("_rr")).alias("_total"))
+    out = zero.join(total, by, "left").withColumn("_total", F.coalesce("_total", F.lit(0.0)))
+    n = F.col("n").cast("double")
+    if method == "ar1":
+        phi = F.greatest(F.least(F.col("_total"), F.lit(0.95)), F.lit(-0.95))
+        value = n * (1 - phi) / (1 + phi)
+    else:
+        value = n / F.greatest(1 + 2 * F.col("_total"), F.lit(1e-6))
+    return out.select(*by, "n", F.when(n >= 5, F.greatest(F.least(value, n), F.lit(4.0))).alias("n_eff"))

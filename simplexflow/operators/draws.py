@@ -64,50 +64,70 @@ def energy_fraction(diag: DataFrame) -> DataFrame:
     )
 
 
-def _rank_normal(x: np.ndarray) -> np.ndarray:
-    ranks = pd.Series(x.ravel()).rank().to_numpy().reshape(x.shape)
-    return np.asarray(_inv_cdf((ranks - 0.375) / (x.size + 0.25)), float)
+def _rank_normal(chains: list[np.ndarray]) -> list[np.ndarray]:
+    ranks = pd.Series(np.concatenate(chains)).rank().to_numpy()
+    values = np.asarray(_inv_cdf((ranks - 0.375) / (len(ranks) + 0.25)), float)
+    return np.split(values, np.cumsum([len(c) for c in chains])[:-1])
 
 
-def _split(x: np.ndarray) -> np.ndarray:
-    half = x.shape[1] // 2
-    return np.vstack([x[:, :half], x[:, -half:]])
+def _split(chains: list[np.ndarray]) -> list[np.ndarray]:
+    """Both halves of every chain; the middle draw of an odd chain is in neither."""
+    return [part for c in chains for part in (c[: len(c) // 2], c[-(len(c) // 2):])]
 
 
-def _rhat(x: np.ndarray) -> float:
-    n = x.shape[1]
-    within = x.var(axis=1, ddof=1).mean()
-    between = n * x.mean(axis=1).var(ddof=1)
-    return float(np.sqrt(((n - 1) / n * within + between / n) / within)) if within > 0 else np.nan
+def _between(chains: list[np.ndarray], n: np.ndarray) -> float:
+    """Variance of chain means, each counted by its length."""
+    means = np.array([c.mean() for c in chains])
+    return float((n * (means - (n * means).sum() / n.sum()) ** 2).sum() / (len(n) - 1) / n.mean()) if len(n) > 1 else 0.0
 
 
-def _ess(x: np.ndarray) -> float:
-    """Effective sample size by Geyer's initial monotone sequence over split chains."""
-    m, n = x.shape
-    centred = x - x.mean(axis=1, keepdims=True)
-    size = 2 ** int(np.ceil(np.log2(2 * n)))
-    spectrum = np.fft.rfft(centred, size)
-    acov = np.fft.irfft(spectrum * np.conj(spectrum), size)[:, :n] / n
-    within = (acov[:, 0] * n / (n - 1)).mean()
-    total = within * (n - 1) / n + (x.mean(axis=1).var(ddof=1) if m > 1 else 0.0)
+def _rhat(chains: list[np.ndarray]) -> float:
+    n = np.array([len(c) for c in chains], float)
+    within = float(sum(((c - c.mean()) ** 2).sum() for c in chains) / (n - 1).sum())
+    size = n.mean()
+    return float(np.sqrt(((size - 1) / size * within + _between(chains, n)) / within)) if within > 0 else np.nan
+
+
+def _ess(chains: list[np.ndarray]) -> float:
+    """Effective sample size by Geyer's initial monotone sequence over split chains.
+
+    Chains may differ in length; a lag is averaged over the draws of the chains that reach it.
+    """
+    n = np.array([len(c) for c in chains], float)
+    longest, draws = int(n.max()), n.sum()
+    size = 2 ** int(np.ceil(np.log2(2 * longest)))
+    total_acov, weight = np.zeros(longest), np.zeros(longest)
+    for c in chains:
+        spectrum = np.fft.rfft(c - c.mean(), size)
+        total_acov[: len(c)] += np.fft.irfft(spectrum * np.conj(spectrum), size)[: len(c)] * len(c) / (len(c) - 1)
+        weight[: len(c)] += len(c)
+    acov = total_acov / weight
+    within = float(sum(((c - c.mean()) ** 2).sum() for c in chains) / (n - 1).sum())
+    mean_length = n.mean()
+    total = within * (mean_length - 1) / mean_length + _between(chains, n)
     if not total > 0:
         return np.nan
-    rho = 1 - (within - acov.mean(axis=0) * n / (n - 1)) / total
+    rho = 1 - (within - acov) / total
     rho[0] = 1.0
-    even = rho[: n - n % 2].reshape(-1, 2).sum(axis=1)
+    even = rho[: longest - longest % 2].reshape(-1, 2).sum(axis=1)
     stop = int(np.argmax(even < 0)) if (even < 0).any() else len(even)
     monotone = np.minimum.accumulate(even[:stop])
-    return float(min(m * n / max(2 * monotone.sum() - 1, 1 / np.log10(m * n)), m * n * np.log10(m * n)))
+    return float(min(draws / max(2 * monotone.sum() - 1, 1 / np.log10(draws)), draws * np.log10(draws)))
+
 
+def convergence(chains) -> tuple[float, float, float]:
+    """Rank-normalised split R-hat, bulk and tail effective size of chains, which may differ in length.
 
-def convergence(values: np.ndarray) -> tuple[float, float, float]:
-    """Rank-normalised split R-hat, bulk and tail effective size of (chains, draws) values."""
-    if values.shape[1] < 4:
+    All draws count; chains below four draws have no halves to compare and are left out.
+    """
+    chains = [np.asarray(c, float) for c in chains if len(c) >= 4]
+    if not chains:
         return np.nan, np.nan, np.nan
-    x = _split(values)
-    folded = np.abs(x - np.median(x))
+    x = _split(chains)
+    every = np.concatenate(x)
+    folded = [np.abs(c - np.median(every)) for c in x]
     rhat = max(_rhat(_rank_normal(x)), _rhat(_rank_normal(folded)))
-    tails = [_ess((x <= np.quantile(x, p)).astype(float)) for p in (0.05, 0.95)]
+    tails = [_ess([(c <= np.quantile(every, p)).astype(float) for c in x]) for p in (0.05, 0.95)]
     return rhat, _ess(_rank_normal(x)), min(tails)
 
 
@@ -120,8 +140,7 @@ def draw_convergence(draws: DataFrame) -> DataFrame:
     def job(pdf: pd.DataFrame) -> pd.DataFrame:
         key = pdf.iloc[0]
         chains = [g.sort_values("iter")["value"].to_numpy(float) for _, g in pdf.groupby("chain")]
-        shortest = min(len(c) for c in chains)
-        values = convergence(np.vstack([c[:shortest] for c in chains]))
+        values = convergence(chains)
         return pd.DataFrame([(key["from"], key["to"], key["variable"], *values)],
                             columns=[*EDGE, "variable", "rhat", "ess_bulk", "ess_tail"])
 

@@ -96,21 +96,21 @@ def with_intercepts(gram, logdet, rho2):
     return out, logdet[..., None] + np.log1p(rho2 * g[..., 0])
 
 
-def rescale(gram, mi, si, mj, sj):
-    """Cross product after (xi - mi) / si and (xj - mj) / sj."""
+def rescale(gram, mi, si, mj, sj, my=0.0, sy=1.0):
+    """Cross product after (xi - mi) / si, (xj - mj) / sj and (y - my) / sy."""
     g = [gram[..., k] for k in range(len(UPPER))]
     return np.stack(
         [
             g[0],
             (g[1] - mi * g[0]) / si,
             (g[2] - mj * g[0]) / sj,
-            g[3],
+            (g[3] - my * g[0]) / sy,
             (g[4] - 2 * mi * g[1] + mi * mi * g[0]) / si**2,
             (g[5] - mi * g[2] - mj * g[1] + mi * mj * g[0]) / (si * sj),
-            (g[6] - mi * g[3]) / si,
+            (g[6] - mi * g[3] - my * g[1] + mi * my * g[0]) / (si * sy),
             (g[7] - 2 * mj * g[2] + mj * mj * g[0]) / sj**2,
-            (g[8] - mj * g[3]) / sj,
-            g[9],
+            (g[8] - mj * g[3] - my * g[2] + mj * my * g[0]) / (sj * sy),
+            (g[9] - 2 * my * g[3] + my * my * g[0]) / sy**2,
         ],
         axis=-1,
     )

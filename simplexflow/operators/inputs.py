@@ -20,22 +20,23 @@ def lag_gaps(chunked: DataFrame, lag: int) -> DataFrame:
     The floor is a quarter of the subject's median positive gap; a gap of zero or less
     is null.  A property of samples, so it is found once and not per pair.
     """
-    w = W.partitionBy("subject", "chunk").orderBy("pos", "sample")
-    rows = chunked.withColumn("_gap", F.col("group_time") - F.lag("group_time", lag).over(w))
+    w = W.partitionBy("subject", "chunk").orderBy("pos")
+    spots = chunked.select("subject", "chunk", "pos", "group_time", "halo").distinct()  # samples that share a time are one position
+    rows = spots.withColumn("_gap", F.col("group_time") - F.lag("group_time", lag).over(w))
     rows = rows.withColumn("step", F.col("group_time") - F.lag("group_time").over(w))
     usual = rows.filter(~F.col("halo") & (F.col("_gap") > 0)).groupBy("subject").agg(F.median("_gap").alias("_usual"))
     rows = rows.join(usual, "subject", "left")
     gap = F.when(F.col("_gap") > 0, F.greatest("_gap", F.lit(0.25) * F.col("_usual")))
-    return rows.withColumn("dt", gap).drop("_gap", "_usual")
+    return chunked.join(rows.select("subject", "chunk", "pos", "step", gap.alias("dt")), ["subject", "chunk", "pos"])
 
 
 def lagged_presence(cells: DataFrame, axis: DataFrame, lag: int) -> DataFrame:
     """Share of a part's lagged rows that are not zero, per (subject, taxon)."""
     spots = axis.select("sample", "pos", "n_groups")
     seen = cells.select("subject", "taxon", "sample", "ra").join(spots, "sample")
-    counted = F.when((F.col("ra") > 0) & (F.col("pos") < F.col("n_groups") - lag), F.lit(1.0))
+    counted = F.when((F.col("ra") > 0) & (F.col("pos") < F.col("n_groups") - lag), F.col("pos"))
     return seen.groupBy("subject", "taxon").agg(
-        (F.coalesce(F.sum(counted), F.lit(0.0)) / F.greatest(F.max("n_groups") - lag, F.lit(1))).alias("nz"),
+        (F.count_distinct(counted) / F.greatest(F.max("n_groups") - lag, F.lit(1))).alias("nz"),
         F.min(F.when(F.col("ra") > 0, F.col("ra"))).alias("min_pos"),
     )
 
@@ -108,7 +109,7 @@ def zscore(df: DataFrame, by: list[str], cols: list[str], cap: float | None = 5.
     return out.drop(*[f"_{k}_{c}" for c in cols for k in "ms"])
 
 
-def scale_table(df: DataFrame, by: list[str], cols=("xi", "xj")) -> DataFrame:
+def scale_table(df: DataFrame, by: list[str], cols=("xi", "xj", "y")) -> DataFrame:
     """Mean and sd of each column per group: one small row per edge."""
     aggs = []
     for c in cols:
@@ -117,7 +118,7 @@ def scale_table(df: DataFrame, by: list[str], cols=("xi", "xj")) -> DataFrame:
     return df.groupBy(*by).agg(*aggs)
 
 
-def apply_scale(df: DataFrame, scales: DataFrame, by: list[str], cols=("xi", "xj")) -> DataFrame:
+def apply_scale(df: DataFrame, scales: DataFrame, by: list[str], cols=("xi", "xj", "y")) -> DataFrame:
     """Standardise by supplied means and sds (global, external, or of a training set)."""
     out = df.join(scales, by)
     z = {c: (F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}") for c in cols}

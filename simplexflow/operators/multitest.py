@@ -50,7 +50,8 @@ def step_up(df: DataFrame, p: str, q: str, scale: Column | None = None) -> DataF
     adjusted = ranked.join(F.broadcast(floor), "_bin").select(
         "_p", F.least(F.lit(1.0), F.col("_own"), F.col("_later")).alias(q)
     )
-    return df.join(adjusted, F.when(finite(p), F.col(p)) == F.col("_p"), "left").drop("_p")
+    tested = df.filter(finite(p)).join(adjusted, F.col(p) == F.col("_p"), "left").drop("_p")
+    return tested.unionByName(df.filter(~finite(p)).withColumn(q, F.lit(None).cast("double")))  # not all on one key
 
 
 def harmonic(df: DataFrame, p: str) -> Column:

@@ -6,12 +6,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
-from pyspark.sql.types import DoubleType
 
 from simplexflow.functions import tails
 from simplexflow.functions.scalars import check_choice, clamp, finite, ratio
 from simplexflow.operators.pairs import PAIR
+from simplexflow.plans.lineage import cut
 
 VAR_METHODS = ("auto", "fisherz", "bonett", "fhp")
 
@@ -35,76 +34,65 @@ def variance_label(var_method: str, method: str) -> str:
     return "bonett" if var_method == "auto" else var_method
 
 
-@F.pandas_udf(DoubleType())
-def reml_tau2(effects: pd.Series) -> pd.Series:
-    """REML between-subject variance by Fisher scoring on one pair's (z, v) list."""
-
-    def one(rows) -> float | None:
-        if rows is None or len(rows) < 2:
-            return None
-        y = np.array([r["z"] for r in rows], float)
-        v = np.array([r["v"] for r in rows], float)
-        tau2 = max(0.0, float(np.var(y, ddof=1) - np.mean(v)))
-        for _ in range(200):
-            w = 1 / (v + tau2)
-            total = w.sum()
-            mu = (w * y).sum() / total
-            trace = total - (w * w).sum() / total
-            curve = (w * w).sum() - 2 * (w**3).sum() / total + ((w * w).sum() / total) ** 2
-            step = ((w * w * (y - mu) ** 2).sum() - trace) / curve
-            nxt = max(0.0, tau2 + step)
-            if abs(nxt - tau2) < 1e-10:
-                return nxt
-            tau2 = nxt
-        return tau2
-
-    return effects.map(one)
+def reml_tau2(v, m, sz, szz, steps: int = 10_000, tol: float = 1e-10) -> float | None:
+    """REML between-subject variance by Fisher scoring.
+
+    Effects of equal variance ``v`` enter by their number ``m``, sum and sum of squares.
+    """
+    v, m, sz, szz = (np.asarray(c, float) for c in (v, m, sz, szz))
+    n = m.sum()
+    if n < 2:
+        return None
+    tau2 = max(0.0, float((szz.sum() - sz.sum() ** 2 / n) / (n - 1) - (m * v).sum() / n))
+    for _ in range(steps):
+        w = 1 / (v + tau2)
+        total = (m * w).sum()
+        mu = (w * sz).sum() / total
+        square = (m * w * w).sum()
+        trace = total - square / total
+        curve = square - 2 * (m * w**3).sum() / total + (square / total) ** 2
+        nxt = max(0.0, tau2 + ((w * w * (szz - 2 * mu * sz + m * mu * mu)).sum() - trace) / curve)
+        if abs(nxt - tau2) < tol:
+            return nxt
+        tau2 = nxt
+    return tau2
 
 
 def pool_effects(effects, by=None, method="DL", knha=True, min_k=2, with_p=True, extra=None) -> DataFrame:
-    """Pool rows ``by, z, v`` (one per subject) to one row per pair.
+    """Pool rows ``by, z, v`` (one per subject) to one row per pair, by partial aggregates only.
 
-    A group has at most one row per subject.  The rows are moved once by pair; the
-    second pass, which needs tau2, then runs where they already are.  ``extra`` maps
-    names to further aggregates of the same rows, taken in the same pass.
+    The between-subject variance follows from five sums.  What depends on it is then taken from sums
+    per distinct variance, so no subject's row is moved to its pair.  ``extra`` maps names to
+    further aggregates of the same rows, taken with the first sums.
     """
     check_choice("meta_method", method, ("DL", "REML"))
     by, extra = by or PAIR, extra or {}
-    w = W.partitionBy(*by)
+    effects = cut(effects)
     use = finite("z") & finite("v") & (F.col("v") > 0)
-    wt = F.when(use, 1 / F.col("v"))
-    rows = effects.withColumn("_w", wt).withColumns(
-        {
-            "_k": F.count("_w").over(w),
-            "_sw": F.sum("_w").over(w),
-            "_sww": F.sum(F.col("_w") * F.col("_w")).over(w),
-            "_swz": F.sum(F.col("_w") * F.col("z")).over(w),
-        }
+    wt, z = F.when(use, 1 / F.col("v")), F.col("z")
+    sums = effects.groupBy(*by).agg(
+        F.count(wt).alias("k"), F.sum(wt).alias("_sw"), F.sum(wt * wt).alias("_sww"), F.sum(wt * z).alias("_swz"), F.sum(wt * z * z).alias("_swzz"),
+        *[c.alias(name) for name, c in extra.items()],
     )
-    q = F.sum(F.col("_w") * F.pow(F.col("z") - F.col("_swz") / F.col("_sw"), 2)).over(w)
-    rows = rows.withColumn("_q", q).withColumn("_c", F.col("_sw") - F.col("_sww") / F.col("_sw"))
+    q = F.greatest(F.lit(0.0), F.col("_swzz") - F.col("_swz") * F.col("_swz") / F.col("_sw"))
+    sums = sums.withColumn("q_stat", F.when(F.col("k") > 0, q)).withColumn("_c", F.col("_sw") - F.col("_sww") / F.col("_sw"))
+    same = effects.filter(use).groupBy(*by, "v").agg(F.count("*").alias("_m"), F.sum("z").alias("_sz"), F.sum(z * z).alias("_szz"))
     if method == "DL":
-        tau2 = F.greatest(F.lit(0.0), ratio(F.col("_q") - (F.col("_k") - 1), F.col("_c")))
-        rows = rows.withColumn("_tau2", F.coalesce(tau2, F.lit(0.0)))
+        tau2 = F.greatest(F.lit(0.0), ratio(F.col("q_stat") - (F.col("k") - 1), F.col("_c")))
+        sums = sums.withColumn("tau2", F.coalesce(tau2, F.lit(0.0)))
     else:
-        lists = effects.filter(use).groupBy(*by).agg(F.collect_list(F.struct("z", "v")).alias("_e"))
-        solved = lists.select(*by, reml_tau2("_e").alias("_tau2"))
-        rows = rows.join(solved, by, "left")
-    star = F.when(F.col("_w").isNotNull(), 1 / (F.col("v") + F.col("_tau2")))
-    rows = rows.withColumn("_ws", star)
-    mu = F.sum(F.col("_ws") * F.col("z")).over(w) / F.sum("_ws").over(w)
-    rows = rows.withColumn("_mu", mu)
-    pooled = rows.groupBy(*by).agg(
-        F.first("_k").alias("k"),
-        F.first("_q").alias("q_stat"),
-        F.first("_c").alias("_c"),
-        F.first("_sw").alias("_sw"),
-        F.first("_tau2").alias("tau2"),
-        F.first("_mu").alias("z_pooled"),
-        F.sum("_ws").alias("_sws"),
-        F.sum(F.col("_ws") * F.pow(F.col("z") - F.col("_mu"), 2)).alias("_ss"),
-        *[c.alias(name) for name, c in extra.items()],
-    )
+        same = cut(same)
+
+        def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame([(*key, reml_tau2(pdf["v"], pdf["_m"], pdf["_sz"], pdf["_szz"]))], columns=[*by, "tau2"])
+
+        fields = ", ".join(f"`{c}` {same.schema[c].dataType.simpleString()}" for c in by)
+        sums = sums.join(same.groupBy(*by).applyInPandas(solve, f"{fields}, tau2 double"), by, "left")
+    star = 1 / (F.col("v") + F.col("tau2"))
+    second = same.join(sums.select(*by, "tau2"), by).withColumn("_ws", star).groupBy(*by).agg(
+        F.sum(F.col("_ws") * F.col("_m")).alias("_sws"), F.sum(F.col("_ws") * F.col("_sz")).alias("_swsz"), F.sum(F.col("_ws") * F.col("_szz")).alias("_swszz"))
+    pooled = sums.join(second, by, "left").withColumn("z_pooled", F.col("_swsz") / F.col("_sws"))
+    pooled = pooled.withColumn("_ss", F.greatest(F.lit(0.0), F.col("_swszz") - F.col("z_pooled") * F.col("_swsz")))
     df_ = F.col("k") - 1
     variance = ratio(F.col("_ss"), df_ * F.col("_sws")) if knha else 1 / F.col("_sws")
     typical = ratio(df_.cast("double"), F.col("_c"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from simplexflow.functions.scalars import finite
 from simplexflow.operators.timeaxis import SLICE_ROWS, ordered_slices, rows_before_slice
 
 
@@ -14,7 +15,7 @@ def exact_quantiles(df: DataFrame, by: list[str], column: str, probs: dict[str,
 
     Rows are ranked slice by slice, and only the two rows around each quantile are kept.
     """
-    rows = df.filter(F.col(column).isNotNull()).select(*by, column)
+    rows = df.filter(finite(column)).select(*by, column)
     sliced = ordered_slices(rows, by, column, slice_rows, "_n")
     rank = F.row_number().over(W.partitionBy(*by, "_slice").orderBy(column)) - 1
     ranked = sliced.withColumn("_local", rank).join(rows_before_slice(sliced, by), [*by, "_slice"])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from simplexflow.operators.kfold import held_out_counts
 from simplexflow.operators.posterior import SUMMARY
 
-SCALE = ["mean_xi", "sd_xi", "mean_xj", "sd_xj"]
+SCALE = ["mean_xi", "sd_xi", "mean_xj", "sd_xj", "mean_y", "sd_y"]
 
 
 def sign_probability(p_pos):

@@ -141,7 +141,7 @@ def regression_rows(pair_rows: DataFrame, profile: X.AxisProfile, o: FitOptions)
             ).withColumn(c, F.col(f"_{c}s")).drop(f"_{c}s", "edf")
     out = I.directed_rows(rows, o.lag, o.transform, o.nz_partner_min_frac)
     if o.standardize_by_subject and not o.compute_elpd:
-        out = I.zscore(out, [*P.TILE, "from", "to"], ["xi", "xj"])
+        out = I.zscore(out, [*P.TILE, "from", "to"], ["xi", "xj", "y"])
     return out
 
 
@@ -203,8 +203,8 @@ def series_blocks(frames: Iterator[pd.DataFrame], grid: G.Grid, unit: float):
             use = block[..., 1] * mask
             columns = np.concatenate([np.ones_like(block[..., :1]), block[..., 2:5]], axis=-1)
             gram, logdet = G.whitened_gram(columns, np.maximum(gap, 1e-6), use, phi, q**2)
-            xi, xj = block[..., 2], block[..., 3]
-            moments = np.stack([use.sum(1), *(np.sum(use * c, 1) for c in (xi, xj, xi * xi, xj * xj))], axis=1)
+            values = [block[..., k] for k in (2, 3, 4)]
+            moments = np.stack([use.sum(1), *(np.sum(use * c, 1) for c in (*values, *(v * v for v in values)))], axis=1)
             folds = [None if f is None else [int(v) for v in f] for f in part["folds"]]
             yield from zip(part["subject"], folds, gram, logdet, moments)
 
@@ -225,19 +225,24 @@ def by_subject(blocks, long_subjects: bool):
         yield subject, folds, gram, logdet, moments
 
 
-def scales(moments):
-    """Means and sds of xi and xj from sums; a constant column has unit sd."""
-    n, si, sj, sii, sjj = moments
-    out = []
-    for s, ss in ((si, sii), (sj, sjj)):
+def scales(moments, o: FitOptions):
+    """Means and sds of xi, xj and y from sums; a constant column has unit sd.
+
+    With folds the scale is that of the training rows; otherwise rows are scaled by subject before
+    they come here, or not at all.
+    """
+    if not o.compute_elpd:
+        return [0.0, 1.0] * 3
+    n, out = moments[0], []
+    for s, ss in zip(moments[1:4], moments[4:7]):
         var = max((ss - s * s / n) / max(n - 1, 1), 0.0)
         out += [s / n, np.sqrt(var) if var > 1e-24 else 1.0]
     return out
 
 
 def spread_ok(moments, least=1e-12) -> bool:
-    n, si, sj, sii, sjj = moments
-    return all(max((ss - s * s / n) / max(n - 1, 1), 0.0) >= least**2 for s, ss in ((si, sii), (sj, sjj)))
+    n = moments[0]
+    return all(max((ss - s * s / n) / max(n - 1, 1), 0.0) >= least**2 for s, ss in zip(moments[1:3], moments[4:6]))
 
 
 def fit_totals(sums: EdgeSums, key, o: FitOptions, nu):
@@ -247,7 +252,7 @@ def fit_totals(sums: EdgeSums, key, o: FitOptions, nu):
         gram, logdet, moments = gram - sums.gram[key], logdet - sums.logdet[key], moments - sums.moments[key]
     if moments[0] < o.min_pairs or not spread_ok(moments):
         return None, None
-    scale = scales(moments)
+    scale = scales(moments, o)
     return Q.fit_grid(G.rescale(gram, *scale), logdet, moments[0], sums.grid, nu), scale
 
 
@@ -335,7 +340,7 @@ def score_job(o: FitOptions, unit: float, long_subjects: bool):
             whole = np.asarray(whole, float)
             cut_a, cut_b = cells * r * 10, cells * r * 11
             moments = whole[cut_b:]
-            scale = scales(moments)
+            scale = scales(moments, o)
             gram = G.rescale(whole[:cut_a].reshape(cells, r, 10), *scale)
             nu = None if pd.isna(nu) else nu
             fits[(rep, fold)] = (Q.fit_grid(gram, whole[cut_a:cut_b].reshape(cells, r), moments[0], grid, nu), scale)
@@ -382,7 +387,10 @@ def fit_pairs(panel: DataFrame, samples: DataFrame, *, taxa: DataFrame | None =
     """Fit every directed pair of one panel.
 
     ``builder`` replaces the rule that turns directed regression rows into model rows.
-    Tables: ``pairs``, ``edges``, ``self_effects``, ``pointwise``, ``folds``.
+    Tables: ``pairs``, ``edges``, ``self_effects``, ``pointwise``, ``folds``.  Response and predictors are
+    standardised together (over the training rows with folds, else by subject unless
+    ``standardize_by_subject`` is off), so coefficients and scores are in units of sds and do not
+    depend on the clock's unit; only without any scaling are they in the units of the rows.
     """
     o = FitOptions(**options)
     panel = S.require_taxa(panel, taxa, 2)

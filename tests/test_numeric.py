@@ -69,8 +69,9 @@ def test_rescale_is_the_same_as_scaling_first():
     scaled = cols.copy()
     scaled[:, 1] = (scaled[:, 1] - 0.3) / 1.7
     scaled[:, 2] = (scaled[:, 2] + 0.2) / 0.6
+    scaled[:, 3] = (scaled[:, 3] - 0.1) / 2.5
     again, _ = gram.whitened_gram(scaled[None], gap, *args)
-    assert np.allclose(gram.rescale(g, 0.3, 1.7, -0.2, 0.6), again)
+    assert np.allclose(gram.rescale(g, 0.3, 1.7, -0.2, 0.6, 0.1, 2.5), again)
 
 
 def test_padding_does_not_change_a_series():
