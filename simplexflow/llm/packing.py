@@ -296,5 +296,5 @@ def pack_documents(docs: DataFrame, path: str, limit: int = 2048, end_id: int =
     fields = "doc_id bigint, copy bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
     packed = short.withColumn("shard", key).groupBy("shard").applyInPandas(place, f"{fields}, sequence_id bigint, offset bigint")
     full = pieces.where(F.col("length") >= limit).withColumns({
-        "sequence_id": -1 - (F.col("copy") * (1 << 20) + F.col("piece")), "offset": F.lit(0).cast("long")})
+        "sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     return packed.unionByName(full).drop("copy")
