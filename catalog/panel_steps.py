@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog.panels import build, long_rows, panel_sql, rounded, rounded_sql, table
@@ -295,7 +297,7 @@ def bundle_query():
         panel, samples = build(spark, sf, "type")
         tables = screen(panel, samples)
         base = spark.sparkContext.getCheckpointDir()
-        path = f"{base}/bundle-{sf.rstrip('/').rsplit('/', 1)[-1]}"
+        path = f"{base}/bundle-{uuid.uuid4().hex}"
         S.write_bundle({"meta": tables["meta"], "log": tables["log"]}, path, {"meta": "k"})
         meta = spark.read.parquet(f"{path}/meta")
         log = spark.read.parquet(f"{path}/log").select("i", "j", "n_dropped")

@@ -50,14 +50,17 @@ def read_samples(df: DataFrame, subject_col="subject", time_col="time", sample_c
 
 
 def grid_join(left: DataFrame, right: DataFrame, right_key: str, blocks: int = GRID_BLOCKS) -> DataFrame:
-    """Every left row with every right row, as an equi-join on a hashed block.
+    """Every left row with every right row, as an equi-join on a cell of a grid of tasks.
 
-    The grid is the result itself (samples by taxa).  Each left row visits every block
-    once and each right row lives in one, so work spreads over ``blocks`` x left keys.
+    The grid is the result itself (samples by taxa).  Left rows are hashed to a row of cells and visit
+    each of its blocks; right rows are hashed to a block and visit each row.  The rows follow
+    the number of shuffle partitions, so there are about as many cells as tasks.
     """
-    seats = right.withColumn("_block", F.pmod(F.xxhash64(right_key), F.lit(blocks)).cast("int"))
-    visits = left.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return visits.join(seats, "_block").drop("_block")
+    rows = max(1, -(-int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    seats = right.withColumn("_block", F.pmod(F.xxhash64(right_key), F.lit(blocks)).cast("int")).withColumn("_cells", every(rows))
+    visits = left.withColumn("_cells", F.pmod(F.xxhash64(*left.columns), F.lit(rows)).cast("int")).withColumn("_block", every(blocks))
+    return visits.join(seats, ["_cells", "_block"]).drop("_cells", "_block")
 
 
 def densify(panel: DataFrame, samples: DataFrame, taxa: DataFrame) -> DataFrame:
