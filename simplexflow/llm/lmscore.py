@@ -34,7 +34,7 @@ from simplexflow.plans.lineage import cut
 
 #: Number of the line start and of the unknown word.
 START, UNKNOWN = 0, 1
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -47,7 +47,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in batch.column(0):
             counts.update(tokens(text.as_py()))
-            if len(counts) > 500_000:
+            if len(counts) > 200_000:
                 yield _words(counts)
                 counts = Counter()
     yield _words(counts)
