@@ -1,14 +1,18 @@
 """Cross-entropy difference of two matched bigram models.
 
 A target model (of the marked documents) and a background model (of all documents) share the
-vocabulary, the kept bigrams and the interpolation, and differ in their counts only:
+vocabulary and the interpolation, and differ in their counts only:
 
-    P(w | h) = W * c(h w) / c(h) + (1 - W * kept(h) / c(h)) * (c(w) + 1) / (N + V)
+    P(w | h) = W * c(h w) / c(h) + (1 - W * [c(h) > 0]) * (c(w) + 1) / (N + V + 1)
 
-where c(h w) counts only for kept bigrams and kept(h) is their sum, so each model sums to one.
-The vocabulary holds the words that make at least ``1 / min_share`` of all tokens, the kept bigrams those that
-make as much of all bigrams; so either table has at most ``min_share`` entries whatever the corpus, while
-the counts below them cover every document.  Other words are one unknown word.
+so each model sums to one.  Every word and every bigram of the corpus counts, at any size (V words, and one
+for those never seen).
+
+``scored`` keeps all counts in Spark.  Documents are dealt to *chunks* of about ``CHUNK`` bytes of text; a chunk sends
+each of its distinct bigrams, histories and words once to that key and gets the sums over all chunks back, so a
+common key has one row per chunk and not one per document.  Words travel as 64-bit hashes and bigrams as pairs of them
+(at ten million words two share a hash with a chance of 3e-6).  ``train`` and ``score`` hold the same model
+on the driver, for small tables.
 
 A document's score is the mean over its tokens of (target loss - background loss) in bits: low is
 near the target.
@@ -26,15 +30,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from simplexflow.llm.tables import Bits, spare, split_by
+from simplexflow.llm.tables import Bits, parts_for, spare, split_by
 from simplexflow.plans.lineage import cut
 
 #: Number of the line start and of the unknown word.
 START, UNKNOWN = 0, 1
 FLUSH = 1_000_000
+#: Bytes of text in a chunk.
+CHUNK = 16 << 20
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -146,15 +153,18 @@ def marked(docs: DataFrame, ids: DataFrame, mark: str, doc_id: str = "doc_id") -
     return near.select(*docs.columns, mark).unionByName(far.withColumn(mark, F.lit(False)).select(*docs.columns, mark))
 
 
-def train(docs: DataFrame, mark: str, text: str = "text", min_share: int = 300_000, weight: float = 0.6, whole: DataFrame | None = None) -> Models:
-    """Both models from ``docs``; ``mark`` names the boolean column of target documents.
+def train(docs: DataFrame, mark: str, text: str = "text", min_share: int | None = None, weight: float = 0.6, whole: DataFrame | None = None) -> Models:
+    """Both models from ``docs``, on the driver; ``mark`` names the boolean column of target documents.
+
+    Only with ``min_share`` are words and bigrams below ``1 / min_share`` of all left out.
 
     ``whole`` may give the same rows without the mark, where making the mark costs a shuffle.
     """
     counted = (docs if whole is None else whole).select(text).mapInArrow(_count_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     counted = cut(counted)
     total = counted.agg(F.sum("n")).first()[0] or 0
-    words = [bytes(r["word"]) for r in counted.where(F.col("n") * min_share >= total).select("word").collect()]  # at most min_share
+    often = lambda all_: F.lit(True) if min_share is None else F.col("n") * min_share >= all_
+    words = [bytes(r["word"]) for r in counted.where(often(total)).select("word").collect()]
     known = {w: i for i, w in enumerate(sorted(words), 2)}
     rows = docs.select(F.col(text).alias("text"), F.coalesce(F.col(mark), F.lit(False)).alias("mark"))
     pairs = rows.mapInArrow(_count_bigrams(known), "bigram bigint, marked bigint, n bigint").groupBy("bigram").agg(
@@ -167,7 +177,7 @@ def train(docs: DataFrame, mark: str, text: str = "text", min_share: int = 300_0
     )).alias("s")).select("s.*").groupBy("number").agg(*[F.sum(c).alias(c) for c in ("h", "w", "hm", "wm")])
     singles = [(r["number"], r["h"], r["w"], r["hm"], r["wm"]) for r in singles.collect()]  # one row per known word
     n_pairs = sum(s[1] for s in singles)
-    kept = pairs.where(F.col("n") * min_share >= n_pairs).toPandas().sort_values("bigram")  # at most min_share
+    kept = pairs.where(often(n_pairs)).toPandas().sort_values("bigram")
     size = len(known) + 2
     bigrams = kept["bigram"].to_numpy(dtype=np.int64)
     return Models(known, bigrams, _side(size, bigrams, kept["m"].to_numpy(), singles, True),
@@ -189,3 +199,92 @@ def score(docs: DataFrame, models: Models, doc_id: str = "doc_id", text: str = "
     fields = "doc_id bigint, n_tokens bigint, target_loss double, background_loss double"
     out = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, fields)
     return out.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
+
+
+@dataclass
+class Chunk:
+    """Texts of one chunk as word numbers; the numbers and the places of its keys follow from the set of its words alone."""
+
+    lengths: np.ndarray
+    hashes: np.ndarray
+    h: np.ndarray
+    w: np.ndarray
+    bigrams: np.ndarray
+    at: np.ndarray
+
+    @classmethod
+    def of(cls, texts: pa.ChunkedArray) -> Chunk:
+        known: dict[bytes, int] = {}
+        parts = [np.array([known.setdefault(w, len(known)) for w in tokens(t.as_py())], dtype=np.int64) for t in texts]
+        words = sorted(known)
+        rank = np.empty(len(words), dtype=np.int64)
+        rank[[known[w] for w in words]] = np.arange(1, len(words) + 1)
+        hashes = np.array([xxhash.xxh64_intdigest(w) for w in [b"", *words]], dtype=np.uint64).view(np.int64)  # no word is empty: the start
+        lengths = np.array([len(p) for p in parts], dtype=np.int64)
+        w = rank[np.concatenate(parts)] if parts else np.zeros(0, np.int64)
+        h = np.roll(w, 1)
+        h[(np.cumsum(lengths) - lengths)[lengths > 0]] = START
+        bigrams, at = np.unique(h << 32 | w, return_inverse=True)
+        return cls(lengths, hashes, h, w, bigrams, at)
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Kind (0 bigram, 1 history, 2 word, 3 all tokens) and two hashes of each key; the order is that of the places."""
+        size = len(self.hashes)
+        kind = np.repeat(np.arange(4, dtype=np.int8), [len(self.bigrams), size, size, 1])
+        first = np.concatenate([self.hashes[self.bigrams >> 32], self.hashes, self.hashes, [0]])
+        second = np.concatenate([self.hashes[self.bigrams & 0xFFFFFFFF], np.zeros(2 * size + 1, np.int64)])
+        return kind, first, second
+
+    def counts(self, weights: np.ndarray) -> np.ndarray:
+        """Sums of the tokens' ``weights`` for each place."""
+        size = len(self.hashes)
+        return np.concatenate([np.bincount(self.at, weights, len(self.bigrams)), np.bincount(self.h, weights, size),
+                               np.bincount(self.w, weights, size), [weights.sum()]]).astype(np.int64)
+
+    def losses(self, sums: np.ndarray, n_words: int, weight: float) -> np.ndarray:
+        """Mean loss of each text under the model with these sums."""
+        size, n = len(self.hashes), len(self.bigrams)
+        c = sums[n:n + size][self.bigrams >> 32]
+        base = (sums[n + size:n + 2 * size][self.bigrams & 0xFFFFFFFF] + 1) / (sums[-1] + n_words + 1)
+        loss = -np.log2(weight * sums[:n] / np.maximum(c, 1) + (1 - weight * (c > 0)) * base)
+        of = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        return np.bincount(of, loss[self.at], len(self.lengths)) / np.maximum(self.lengths, 1)
+
+
+def _chunk_counts(key: tuple, table: pa.Table) -> pa.Table:
+    chunk = Chunk.of(table.column("text"))
+    mark = np.repeat(table.column("mark").to_numpy(), chunk.lengths)
+    n, m = chunk.counts(np.ones(len(chunk.w))), chunk.counts(mark.astype(float))
+    kind, first, second = chunk.keys()
+    some = np.flatnonzero(n)
+    return pa.table({"chunk": np.full(len(some), key[0].as_py(), np.int64), "place": some.astype(np.int32), "kind": kind[some], "a": first[some],
+                     "b": second[some], "n": n[some], "m": m[some]})
+
+
+def scored(docs: DataFrame, mark: str, doc_id: str = "doc_id", text: str = "text", weight: float = 0.6, whole: DataFrame | None = None,
+           chunk: int = CHUNK) -> DataFrame:
+    """``doc_id, n_tokens, target_loss, background_loss, difference`` of every row under the models of all rows.
+
+    ``whole`` may give the same rows without the mark, where making the mark costs a shuffle.
+    """
+    whole = (docs if whole is None else whole).select(F.col(text).alias("text"))
+    n_chunks = parts_for(whole.agg(F.sum(F.octet_length("text"))).first()[0] or 0, chunk)
+    n_words = whole.mapInArrow(_count_words, "word binary, n bigint").select("word").distinct().count()
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(mark), F.lit(False)).alias("mark"))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks).cast("bigint")))
+    sent = rows.groupBy("chunk").applyInArrow(_chunk_counts, "chunk bigint, place int, kind byte, a bigint, b bigint, n bigint, m bigint")
+    key = Window.partitionBy("kind", "a", "b")
+    sums = sent.select("chunk", "place", F.sum("n").over(key).alias("n"), F.sum("m").over(key).alias("m"))
+
+    def run(table: pa.Table, back: pa.Table) -> pa.Table:
+        held = Chunk.of(table.column("text"))
+        losses = []
+        for name in ("m", "n"):
+            of = np.zeros(len(held.bigrams) + 2 * len(held.hashes) + 1, dtype=np.int64)
+            of[back.column("place").to_numpy()] = back.column(name).to_numpy()
+            losses.append(pa.array(held.losses(of, n_words, weight), mask=held.lengths == 0))
+        return pa.table([table.column("doc_id"), pa.array(held.lengths), *losses], names=["doc_id", "n_tokens", "target_loss", "background_loss"])
+
+    fields = "doc_id bigint, n_tokens bigint, target_loss double, background_loss double"
+    out = rows.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(run, fields)
+    return out.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
