@@ -234,7 +234,8 @@ def linked(prints: DataFrame, radius: int, buckets: str = "bits", similarity: fl
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 3, radius: int = 2, words: int = 1,
             bare: bool = False, similarity: float | None = None, wide_radius: int | None = None, tile: int = TILE) -> DataFrame:
-    """One row per document: ``id``, ``row_key``, ``fp`` and ``component_id`` (least id of its component).
+    """One row per document: ``id``, ``row_key``, ``fp``, ``root`` (least fingerprint of its component, which names it) and ``component_id``
+    (least id of the component; components may share it where ids are null or repeated).
 
     With ``similarity`` the size buckets are used, else the pigeonhole.
     """
@@ -245,8 +246,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: i
     roots = components(links)
     named = each.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("id", "row_key", "fp", "component_id")
+    named = named.join(least, "root").select("fp", "root", "component_id")
+    return prints.join(named, "fp").select("id", "row_key", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8,
@@ -261,7 +262,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size:
     """
     group, key, order = spare(docs, "group"), spare(docs, "row_key"), spare(docs, "order")
     named = classes(docs, id_col, text, size, radius, 4, True, similarity, wide_radius, tile)
-    keep = named.groupBy("component_id").agg(F.min(F.struct("id", "row_key")).alias("best")).select("best.*").select(
+    keep = named.groupBy("root").agg(F.min(F.struct("id", "row_key")).alias("best")).select("best.*").select(
         F.col("id").alias(group), F.col("row_key").alias(key)).distinct()
     rows = docs.withColumn("_own_key", row_key(id_col, text))
     met = rows.join(keep, F.col(id_col).eqNullSafe(F.col(group)) & (F.col("_own_key") == F.col(key)), "left_semi")

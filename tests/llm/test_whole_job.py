@@ -6,7 +6,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from simplexflow.llm import lmscore, queries
+from simplexflow.llm import lmscore, queries, simhash
+
+from .conftest import frame
 
 
 def plain_losses(rows, weight=0.6):
@@ -47,3 +49,10 @@ def test_lm_scoring_by_chunks_equals_the_model_on_the_driver(spark, docs, odd, n
             got = order(lmscore.scored(rows, "good", chunk=chunk))
             assert [r[:2] for r in got] == [r[:2] for r in want]
             assert all(a == b or a == pytest.approx(b, rel=1e-9, abs=1e-9) for x, y in zip(got, want) for a, b in zip(x[2:], y[2:]))
+
+
+def test_keep_one_keeps_unrelated_texts_with_null_or_repeated_ids(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[3])]
+    got = sorted((r.doc_id or 0, r.text) for r in simhash.keep_one(frame(spark, rows)).collect())
+    assert got == [(0, texts[0]), (0, texts[1]), (7, texts[2]), (7, texts[3])]
