@@ -1,6 +1,7 @@
 """Findings of the second advice: each test fails where the operator does less than the whole job."""
 
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -56,3 +57,22 @@ def test_keep_one_keeps_unrelated_texts_with_null_or_repeated_ids(spark):
     rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[3])]
     got = sorted((r.doc_id or 0, r.text) for r in simhash.keep_one(frame(spark, rows)).collect())
     assert got == [(0, texts[0]), (0, texts[1]), (7, texts[2]), (7, texts[3])]
+
+
+def test_keep_one_decides_by_exact_similarity(spark):
+    """Pairs of 0.80 to 0.83 lose one text, pairs of 0.73 to 0.79 lose none, and a doubled text meets itself."""
+    rng = random.Random(5)
+    texts, gone = [], set()
+    for k in range(120):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(304)]  # 300 shingles, the copy shares 300 - cut of them
+        cut = 26 + k % 8 if k % 2 else 36 + k % 8
+        copy = words[:-cut] + [f"w{rng.randrange(10**9)}" for _ in range(cut)]
+        a, b = ({tuple(x[i:i + 5]) for i in range(300)} for x in (words, copy))
+        if len(a & b) >= 0.8 * len(a | b):
+            gone.add(2 * k + 1)
+        texts += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+    texts += [(1000, texts[0][1] + " " + texts[0][1]), (1001, "one two three four five six seven eight"), (1002, "one two three four five six seven eight nine")]
+    assert len(gone) == 60
+    for tile in (4096, 16):
+        kept = {r.doc_id for r in simhash.keep_one(frame(spark, texts), tile=tile).collect()}
+        assert kept == {i for i, _ in texts} - gone - {1000, 1002}
