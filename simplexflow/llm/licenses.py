@@ -3,11 +3,11 @@
 Texts and templates are compared as bare words (lower case, ASCII punctuation as blanks).  Alignment
 anchors on words that stand once in both, takes the longest increasing subsequence of the anchors and
 aligns the gaps between them in the same way; a gap without such words is cut by equal ends
-and, if small, by a plain longest common subsequence.  Coverage is the matched share of a template.
+and aligned by a longest common subsequence.  Coverage is the matched share of a template.
 
-A text is looked at only around words of the template: windows of two template lengths, a step of one
-apart, so any passage of at most one length more lies within one of them.  Windows that hold too few of the template's words
-to reach the threshold are passed over; the rest of the work does not depend on the text's length.
+A template is aligned with the whole text, without a bound on the words between matches.  Only the text's words that the template
+has enter, which keeps the work linear in the text and the result independent of the place.  The reported span ends at the first
+word by which so many words can be matched, and starts as late as that end allows.
 
 Defined cases: null and empty texts have no hit; an empty template matches nothing; repeated rows and
 templates are treated each by itself; of equal coverages the first place counts; an empty table gives
@@ -83,6 +83,23 @@ def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out
 
 
+def sparse_common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """A longest common subsequence by the equal pairs alone: the places in ``b`` of each word of ``a``, last first, have it as
+    a longest increasing subsequence."""
+    places: dict[str, list[int]] = {}
+    for k in range(len(b) - 1, -1, -1):
+        places.setdefault(b[k], []).append(k)
+    pairs = [(i, k) for i, w in enumerate(a) for k in places.get(w, ())]
+    return [pairs[x] for x in increasing([k for _, k in pairs])]
+
+
+def tight(a: list[str], b: list[str], n: int) -> tuple[int, int]:
+    """The part of ``a`` with the first end, then the last start, that has ``n`` words in common with ``b`` in order."""
+    end = bisect_left(range(len(a)), n, key=lambda e: len(sparse_common(a[:e], b)))
+    start = bisect_left(range(end), 1, key=lambda s: len(sparse_common(a[s:end], b)) < n) - 1
+    return start, end
+
+
 def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Matched places of ``a`` and ``b``, increasing in both."""
     out: list[tuple[int, int]] = []
@@ -108,12 +125,9 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
                 if (x, y) != (i2, j2):
                     out.append((x, y))
                 p, q = x + 1, y + 1
-        elif (i2 - i) * (j2 - j) <= SMALL:
-            out += [(i + x, j + y) for x, y in common(a[i:i2], b[j:j2])]
-        else:  # neighbouring copies hide each other's unique words: the better half
-            mid = (i + i2) // 2
-            halves = [[(i + x, j + y) for x, y in patience(a[i:mid], b[j:j2])], [(mid + x, j + y) for x, y in patience(a[mid:i2], b[j:j2])]]
-            out += max(halves, key=len)
+        else:
+            exact = common if (i2 - i) * (j2 - j) <= SMALL else sparse_common
+            out += [(i + x, j + y) for x, y in exact(a[i:i2], b[j:j2])]
     return sorted(out)
 
 
@@ -132,24 +146,14 @@ class Scanner:
             need = -(-self.threshold * m // 1)
             if sum(n for w, n in counts.items() if w in seen) < need:
                 continue
-            best = (0, 0, 0)
             hits = [i for i, w in enumerate(words) if w in kinds]
-            done = -1
-            for i in hits:
-                start = i // m * m
-                for s in (start - m, start):
-                    if s <= done:
-                        continue
-                    done = s
-                    lo = max(0, s)
-                    window = words[lo:s + 2 * m]
-                    if sum(min(n, counts[w]) for w, n in Counter(w for w in window if w in kinds).items()) < need:
-                        continue
-                    found = patience(window, template)
-                    if found and len(found) > best[0]:
-                        best = (len(found), lo + found[0][0], lo + found[-1][0] + 1)
-            if best[0] >= need:
-                out.append((name, best[0] / m, best[1], best[2]))
+            own = [words[i] for i in hits]
+            if sum(min(n, counts[w]) for w, n in Counter(own).items()) < need:
+                continue
+            n = len(patience(own, template))
+            if n and n >= need:
+                start, end = tight(own, template, n)
+                out.append((name, n / m, hits[start], hits[end - 1] + 1))
         return out
 
 

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from simplexflow.llm import lmscore, queries, simhash
+from simplexflow.llm import licenses, lmscore, queries, simhash
 
 from .conftest import frame
 
@@ -76,3 +76,29 @@ def test_keep_one_decides_by_exact_similarity(spark):
     for tile in (4096, 16):
         kept = {r.doc_id for r in simhash.keep_one(frame(spark, texts), tile=tile).collect()}
         assert kept == {i for i, _ in texts} - gone - {1000, 1002}
+
+
+def test_licence_is_found_alike_at_every_place():
+    text = "Licensed under the terms and conditions of the Apache License, Version 2.0"
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.8)
+    for k in range(40):
+        assert ("Apache-2.0", 1.0, k, k + 13) in scanner.scan("x " * k + text + " y" * 30)
+
+
+def test_licence_coverage_equals_patience_on_the_whole_text():
+    rng = random.Random(2)
+    for name, template in licenses.TEMPLATES.items():
+        words = licenses.bare(template).split()
+        scanner = licenses.Scanner({name: template}, 0.5)
+        for k in range(25):
+            text = [w for w in words * rng.randint(1, 3) if rng.random() < 0.9]
+            for _ in range(rng.randint(0, 120)):
+                text.insert(rng.randrange(len(text) + 1), rng.choice(["x", "y", rng.choice(words)]))
+            own = [w for w in text if w in set(words)]
+            n = len(licenses.patience(own, words))
+            assert len(licenses.sparse_common(own, words)) == len(licenses.common(own, words)) >= n
+            got = scanner.scan("z " * k + " ".join(text))
+            assert [(h[0], h[1]) for h in got] == [(name, n / len(words))] * (n >= 0.5 * len(words))
+            for _, _, start, end in got:
+                assert len(licenses.common(text[start - k:end - k], words)) >= n
+                assert len(licenses.common(text[:end - k - 1], words)) < n > len(licenses.common(text[start - k + 1:end - k], words))
