@@ -1,7 +1,7 @@
 """N-gram Jaccard join with an R-tree over count vectors.
 
-A text's set holds the hashes of its distinct word shingles.  Every set is a point: its members are hashed into ``GROUPS`` groups,
-and the group counts are the coordinates.  The overlap of two sets is at most the sum of the coordinate minima,
+A text's set holds the hashes of its distinct word shingles.  Every set is a point: its members are hashed into
+groups (``GROUPS``, or more for larger sets), and the group counts are the coordinates.  The overlap of two sets is at most the sum of the coordinate minima,
 and that of a set with all points of a box at most the sum of the minima with the box's upper corner; so an R-tree whose boxes
 know their upper corner and range of sizes finds all points that may reach the similarity.  Survivors are verified on the sets.
 
@@ -35,11 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simplexflow.llm.components import components
-from simplexflow.llm.tables import Bits, parts_for, shared_folder
+from simplexflow.llm.tables import Bits, shared_folder
 from simplexflow.plans.lineage import cut
 
 SIZE, LIMIT = 5, (80, 100)
 GROUPS, FAN, TILE, LEADERS = 64, 16, 1024, 16
+#: Mean members of a unit up to which a chunk may have ``TILE`` units.
+MEMBERS = 2048
 COMMON = 1 << 18
 #: Members of the sets that a task counts before it hands on the frequent ones.
 FLUSH = 4_000_000
@@ -52,28 +54,66 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes of text whose words are hashed together.
+BLOCK = 1 << 21
+INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
+SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+#: A value for each byte, with A-Z as a-z.
+VALUE = mixed(np.frombuffer(bytes(range(256)).lower(), dtype=np.uint8).astype(np.uint64) + np.uint64(1))
+
+
 class Shingler:
-    """Sets of shingle hashes; a word's hash is kept while the table of words is small."""
+    """Sets of shingle hashes of many texts at once, by rolling sums over their UTF-8 bytes."""
 
     def __init__(self, size: int = SIZE):
-        self.size, self.known = size, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        """Distinct hashes in rising order; A-Z are lower-cased, words end at ASCII white space."""
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        if len(self.known) > 500_000:
-            self.known = {}
-        known = self.known
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w, 42)
-        h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-        k = min(self.size, len(h))
-        sums = np.full(len(h) - k + 1, k, dtype=np.uint64)
-        for i in range(k):
-            sums = sums * MULTIPLIER + h[i:len(h) - k + 1 + i]
-        return np.unique(mixed(sums))
+        self.size = size
+        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if len(self.up) < n:
+            n = max(n, BLOCK)
+            self.up = np.cumprod(np.r_[np.uint64(1), np.full(n, MULTIPLIER)], dtype=np.uint64)
+            self.down = np.cumprod(np.r_[np.uint64(1), np.full(n, INVERSE)], dtype=np.uint64)
+
+    def sets(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The distinct hashes of each text in rising order; words end at ASCII white space and A-Z are lower-cased."""
+        if not len(texts):
+            return
+        texts = texts.cast(pa.large_binary())
+        ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + BLOCK, "right")) - 1)
+            yield from self._block(data[ends[at]:ends[to]], ends[at:to + 1] - ends[at])
+            at = to
+
+    def _block(self, data: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
+        self._powers(len(data) + 1)
+        border = np.zeros(len(data) + 1, bool)  # a text starts here
+        border[ends] = True
+        word = np.r_[False, ~SPACE[data], False]
+        start = np.flatnonzero(word[1:-1] & (~word[:-2] | border[:-1]))
+        end = np.flatnonzero(word[1:-1] & (~word[2:] | border[1:])) + 1
+        sums = np.r_[np.uint64(0), np.cumsum(VALUE[data] * self.up[:len(data)], dtype=np.uint64)]
+        hashes = mixed((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+        text = np.searchsorted(ends, start, "right") - 1  # of empty texts before a start the last one is the text's
+        n_words = np.bincount(text, minlength=len(ends) - 1)
+        first = np.cumsum(n_words) - n_words
+        n_grams = np.where(n_words >= self.size, n_words - self.size + 1, np.minimum(n_words, 1))
+        to = np.cumsum(n_grams)
+        grams = np.empty(int(to[-1]) if len(to) else 0, np.uint64)
+        spot = np.repeat(first - to + n_grams, n_grams) + np.arange(len(grams))  # first word of each shingle
+        many = np.repeat(np.minimum(n_words, self.size), n_grams)
+        made = many.astype(np.uint64)
+        for i in range(self.size):
+            more = hashes[np.minimum(spot + i, len(hashes) - 1)] if len(hashes) else hashes
+            made = np.where(i < many, made * MULTIPLIER + more, made)
+        grams = mixed(made)
+        for lo, hi in zip((to - n_grams).tolist(), to.tolist()):
+            own = grams[lo:hi]
+            own.sort()
+            yield own[np.r_[True, own[1:] != own[:-1]]] if hi - lo > 1 else own
 
 
 def unit_of(grams: np.ndarray) -> int:
@@ -82,9 +122,25 @@ def unit_of(grams: np.ndarray) -> int:
     return h - (h >> 63 << 64)
 
 
-def counts_of(grams: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    """The point of a set: how many members each group has."""
-    return np.bincount((grams % np.uint64(groups)).astype(np.int64), minlength=groups).astype(np.int32)
+def counts_of(grams: np.ndarray) -> np.ndarray:
+    """The point of a set: how many members each group has.
+
+    The groups are a power of two, ``GROUPS`` or an eighth of the members at least: the counts of unrelated sets of n members
+    differ by about 1.1 * sqrt(n * groups), those of similar ones by n / 4.5 at most.
+    """
+    groups = max(GROUPS, 1 << (max(len(grams) - 1, 1) // 8).bit_length())
+    return np.bincount((grams & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
+
+
+def levels(points: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each number of groups: the rows that can meet, their points with that number, and which rows are of it.
+
+    Sizes of similar sets are within a factor of two, so a row meets rows of its own and of the next number, folded.
+    """
+    groups = np.array([len(p) for p in points])
+    for g in np.unique(groups).tolist():
+        rows = np.flatnonzero((groups == g) | (groups == 2 * g))
+        yield rows, np.stack([points[r].reshape(-1, g).sum(axis=0, dtype=np.int32) for r in rows]), groups[rows] == g
 
 
 def prefix_length(n: int, limit: tuple[int, int]) -> int:
@@ -126,8 +182,9 @@ class CountTree:
         box = np.tile(np.arange(len(self.upper[-1])), len(points))
         for level in range(len(self.upper) - 1, -1, -1):
             kept = []
-            for at in range(0, len(query), 1 << 15):
-                q, b = query[at:at + (1 << 15)], box[at:at + (1 << 15)]
+            step = max(1, (1 << 21) // points.shape[1])
+            for at in range(0, len(query), step):
+                q, b = query[at:at + step], box[at:at + step]
                 a, low, high = n[q], self.least[level][b], self.most[level][b]
                 some = np.flatnonzero(reaches(np.minimum(a, high), a, low, self.limit))
                 q, b = q[some], b[some]
@@ -157,28 +214,31 @@ class Clusters:
         return True
 
 
-def near_pairs(points: np.ndarray, clusters: Clusters, limit: tuple[int, int], asks: np.ndarray | None = None, same: Callable[[int, int], bool] | None = None,
-               step: int = 128) -> list[tuple[int, int]]:
-    """Pairs that join clusters: bound by the tree and, with ``same``, verified.  ``asks``: only these rows are queries."""
+def near_pairs(points: list[np.ndarray], clusters: Clusters, limit: tuple[int, int], asks: np.ndarray | None = None,
+               same: Callable[[int, int], bool] | None = None, step: int = 128) -> list[tuple[int, int]]:
+    """Pairs that join clusters: bound by a tree and, with ``same``, verified.  ``asks``: at least one row of a pair is marked so."""
     out = []
-    tree = CountTree(points, limit)
-    rows = np.arange(len(points)) if asks is None else asks
-    for at in range(0, len(rows), step):
-        some = rows[at:at + step]
-        q, p = tree.search(points[some])
-        order = np.lexsort((p, q))
-        q, p = q[order], p[order]
-        starts = np.searchsorted(q, np.arange(len(some) + 1))
-        for k, i in enumerate(some.tolist()):
-            met = p[starts[k]:starts[k + 1]]
-            if asks is None:
-                met = met[met < i]
-            while len(met := met[clusters.label[met] != clusters.label[i]]):
-                j = int(met[0])
-                met = met[1:]
-                if same is None or same(i, j):
-                    clusters.join(i, j)
-                    out.append((i, j))
+    for rows, level, own in levels(points):
+        tree = CountTree(level, limit)
+        queries = np.flatnonzero(own)
+        for at in range(0, len(queries), step):
+            some = queries[at:at + step]
+            q, p = tree.search(level[some])
+            order = np.lexsort((p, q))
+            q, p = q[order], p[order]
+            starts = np.searchsorted(q, np.arange(len(some) + 1))
+            for k, mine in enumerate(some.tolist()):
+                met = p[starts[k]:starts[k + 1]]
+                met = rows[met[(met < mine) | ~own[met]]]
+                i = int(rows[mine])
+                if asks is not None and not asks[i]:
+                    met = met[asks[met]]
+                while len(met := met[clusters.label[met] != clusters.label[i]]):
+                    j = int(met[0])
+                    met = met[1:]
+                    if same is None or same(i, j):
+                        clusters.join(i, j)
+                        out.append((i, j))
     return out
 
 
@@ -202,20 +262,19 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
 
 
 def _units(size: int):
-    """``id, unit, n`` of each text, and ``hash, df`` of hashes that are frequent among the partition's sets."""
+    """``id, mark, unit, n`` of each text, and ``hash, df`` of hashes that are frequent among the partition's sets."""
 
     def frequent(parts: list[np.ndarray], kind: pa.DataType) -> pa.RecordBatch:
         h, n = np.unique(np.concatenate(parts), return_counts=True)
         h, n = h[n > 2], n[n > 2]
-        none = [pa.nulls(len(h), t) for t in (kind, pa.int64(), pa.int64())]
-        return pa.RecordBatch.from_arrays([*none, pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["id", "unit", "n", "hash", "df"])
+        none = [pa.nulls(len(h), t) for t in (kind, pa.int64(), pa.int64(), pa.int64())]
+        return pa.RecordBatch.from_arrays([*none, pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=UNIT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen, parts, held = Shingler(size), set(), [], 0
         for batch in batches:
             units, n = [], []
-            for text in batch.column(1):
-                grams = shingles(text.as_py())
+            for grams in shingles.sets(batch.column(2)):
                 units.append(unit_of(grams))
                 n.append(len(grams))
                 if units[-1] not in seen:
@@ -226,14 +285,16 @@ def _units(size: int):
                     yield frequent(parts, batch.column(0).type)
                     seen, parts, held = set(), [], 0
             none = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(units, pa.int64()), pa.array(n, pa.int64()), none, none],
-                                             names=["id", "unit", "n", "hash", "df"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(units, pa.int64()), pa.array(n, pa.int64()), none, none], names=UNIT)
         if held:
             yield frequent(parts, batch.column(0).type)
 
     return run
 
 
+UNIT = ["id", "mark", "unit", "n", "hash", "df"]
+
+
 def _keys(size: int, limit: tuple[int, int], common: np.ndarray):
     """``unit, key``: the prefix of each set, rare hashes first; equal sets of a partition once."""
     by_hash = np.argsort(common)
@@ -249,8 +310,7 @@ def _keys(size: int, limit: tuple[int, int], common: np.ndarray):
         shingles, seen = Shingler(size), set()
         for batch in batches:
             units, keys = [], []
-            for text in batch.column(0):
-                grams = shingles(text.as_py())
+            for grams in shingles.sets(batch.column(0)):
                 unit = unit_of(grams)
                 if len(grams) and unit not in seen:
                     seen.add(unit)
@@ -265,17 +325,18 @@ def _keys(size: int, limit: tuple[int, int], common: np.ndarray):
     return run
 
 
-def _read_again(docs: DataFrame, text: str, size: int, bits: Bits, as_points: bool) -> DataFrame:
-    """``unit, held`` of the texts whose unit may be among the keys of ``bits``: the point or the whole set, as bytes."""
+def _read_again(docs: DataFrame, units: DataFrame, text: str, size: int, as_points: bool) -> DataFrame:
+    """``unit, held`` of (at least) ``units``: the point or the whole set, as bytes; only texts whose hash ``mark`` may be theirs are worked on."""
+    bits = fitting_bits(units, "mark")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen = Shingler(size), set()
         for batch in batches:
+            batch = batch.filter(pa.array(bits.hits(batch.column(0).to_numpy())))
             units, held = [], []
-            for value in batch.column(0):
-                grams = shingles(value.as_py())
+            for grams in shingles.sets(batch.column(1)):
                 unit = unit_of(grams)
-                if unit not in seen and bits.hit(unit):
+                if unit not in seen:
                     seen.add(unit)
                     units.append(unit)
                     held.append((counts_of(grams) if as_points else grams).tobytes())
@@ -283,7 +344,8 @@ def _read_again(docs: DataFrame, text: str, size: int, bits: Bits, as_points: bo
             if len(seen) > 1_000_000:
                 seen = set()
 
-    return docs.select(text).mapInArrow(run, "unit bigint, held binary").groupBy("unit").agg(F.first("held").alias("held"))
+    found = docs.select(F.xxhash64(text).alias("mark"), text).mapInArrow(run, "unit bigint, held binary")
+    return found.groupBy("unit").agg(F.first("held").alias("held"))
 
 
 def fitting_bits(keys: DataFrame, key: str) -> Bits:
@@ -301,10 +363,11 @@ def _pairs_of(limit: tuple[int, int]):
             if rows.num_rows < 2:
                 continue
             units = rows.column("unit").to_numpy()
-            points = np.frombuffer(b"".join(rows.column("held").to_pylist()), dtype=np.int32).reshape(len(units), -1)
+            points = [np.frombuffer(x, dtype=np.int32) for x in rows.column("held").to_pylist()]
             if len(units) == 2:
-                n = points.sum(axis=1)
-                if reaches(np.minimum(points[0], points[1]).sum(), n[0], n[1], limit):
+                g = min(map(len, points))
+                a, b = (x.reshape(-1, g).sum(axis=0) for x in points)
+                if reaches(np.minimum(a, b).sum(), a.sum(), b.sum(), limit):
                     out.append((units[0], units[1]))
             else:
                 out += [(units[i], units[j]) for i, j in near_pairs(points, Clusters(units), limit)]
@@ -328,14 +391,14 @@ def _verified(limit: tuple[int, int], keys: list[str]):
         for rows in groups(batches, keys):
             units = rows.column("unit").to_numpy()
             sets = [np.frombuffer(x, dtype=np.uint64) for x in rows.column("held").to_pylist()]
-            points = np.stack([counts_of(s) for s in sets])
-            asks = np.flatnonzero(rows.column("asks").to_numpy(zero_copy_only=False))
+            points = [counts_of(s) for s in sets]
+            asks = rows.column("asks").to_numpy(zero_copy_only=False)
 
             def same(i: int, j: int, sets=sets) -> bool:
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 return bool(reaches(both, len(sets[i]), len(sets[j]), limit))
 
-            found = near_pairs(points, Clusters(rows.column("cluster").to_numpy()), limit, None if len(asks) == len(units) else asks, same)
+            found = near_pairs(points, Clusters(rows.column("cluster").to_numpy()), limit, asks, same)
             out += [(units[i], units[j]) for i, j in found]
         yield _links(out)
 
@@ -362,7 +425,7 @@ def candidates(docs: DataFrame, units: DataFrame, common: np.ndarray, text: str,
     about = cut(about.groupBy("m", "a", "sum").agg(F.min("key").alias("key")).select("key", "m"))
     met = met.join(about, "key")
     small = cut(met.where(F.col("m") <= tile).select("key", "unit"))
-    points = _read_again(docs, text, size, fitting_bits(small.select("unit").distinct(), "unit"), True)
+    points = _read_again(docs, small.select("unit").distinct().join(units, "unit"), text, size, True)
     near = small.join(points, "unit").select("key", "unit", "held").repartition("key").sortWithinPartitions("key").mapInArrow(_pairs_of(limit), "u bigint, v bigint")
     step = float(np.log(limit[1] / limit[0]))
     large = met.where(F.col("m") > tile).join(units.select("unit", "n"), "unit").withColumn("class", F.floor(F.log("n") / step))
@@ -380,15 +443,17 @@ def _only(bits: Bits):
     return run
 
 
-def links(docs: DataFrame, found: DataFrame, text: str, size: int, limit: tuple[int, int], tile: int) -> DataFrame:
+def links(docs: DataFrame, units: DataFrame, found: DataFrame, text: str, size: int, limit: tuple[int, int], tile: int) -> DataFrame:
     """Exact links ``u, v`` inside the components of ``found``: a spanning set of all links (step 3)."""
     named = components(found).withColumnRenamed("node", "unit")
-    sizes = named.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    named = cut(named.join(sizes, "root").withColumn("chunks", F.ceil(F.col("m") / tile).cast("bigint")))
-    sets = _read_again(docs, text, size, fitting_bits(named, "unit"), False)
-    held = cut(named.join(sets, "unit").withColumn("chunk", F.pmod(F.xxhash64("unit"), "chunks")))
-    leaders = named.where("chunks > 1").groupBy("root").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("unit"), F.col("chunks")) == 0, F.col("unit")))),
-                                                                    1, LEADERS).alias("heads"))
+    named = cut(named.join(units.select("unit", "n", "mark"), "unit"))
+    sizes = named.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("members"))
+    chunks = F.ceil(F.greatest(F.col("m") / tile, F.col("members") / (tile * MEMBERS))).cast("bigint")
+    named = named.join(sizes, "root").select("unit", "root", "mark", chunks.alias("chunks"), F.pmod(F.xxhash64("unit"), chunks).alias("chunk"))
+    named = cut(named)
+    sets = _read_again(docs, named, text, size, False)
+    held = cut(named.drop("mark").join(sets, "unit"))
+    leaders = named.where("chunks > 1").groupBy("root").agg(F.slice(F.array_sort(F.collect_set(F.when(F.col("chunk") == 0, F.col("unit")))), 1, LEADERS).alias("heads"))
     leaders = held.join(leaders, "root").where(F.array_contains("heads", F.col("unit"))).drop("heads")
     leaders = leaders.withColumn("chunk", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("chunks") - 1)))
     plain = {"cluster": F.col("unit"), "asks": F.lit(True)}
@@ -415,15 +480,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: i
 
     Two documents link when ``limit[1] * intersection >= limit[0] * union`` of their sets; ``component_id`` is the least id of the component.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    both = cut(rows.mapInArrow(_units(size), f"id {kind}, unit bigint, n bigint, hash bigint, df bigint"))
-    prints = both.where("unit is not null").select("id", "unit", "n")
+    both = cut(rows.mapInArrow(_units(size), f"id {kind}, mark bigint, unit bigint, n bigint, hash bigint, df bigint"))
+    prints = both.where("unit is not null").select("id", "mark", "unit", "n")
     often = both.where("hash is not null").groupBy("hash").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "hash").limit(COMMON).select("hash").toPandas()
     common = often["hash"].to_numpy(dtype=np.int64).view(np.uint64)
-    units = cut(prints.where("n > 0").groupBy("unit").agg(F.min("id").alias("least"), F.max("n").alias("n")))
+    units = cut(prints.where("n > 0").groupBy("unit").agg(F.min("id").alias("least"), F.max("n").alias("n"), F.min("mark").alias("mark")))
     found = cut(candidates(docs, units, common, text, size, limit, tile))
-    exact = links(docs, found, text, size, limit, tile)
+    exact = links(docs, units, found, text, size, limit, tile)
     named = units.join(components(exact).withColumnRenamed("node", "unit"), "unit", "left").withColumn("root", F.coalesce("root", "unit"))
     named = cut(named.select("unit", "least", "root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -85,6 +85,15 @@ def test_count_tree_loses_no_pair():
     assert set(zip(q.tolist(), p.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(180 * bound >= 80 * (n[:, None] + n[None])))))
 
 
+def test_points_of_large_sets_fold(spark):
+    rng = random.Random(8)
+    rows = made_texts(rng, 4, 4, 500, 12) + made_texts(rng, 3, 3, 560, 25)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    got = [tuple(r) for r in ngramjoin.classes(frame(spark, rows)).select("id", "n_shingles", "component_id").collect()]
+    assert sorted(got, key=str) == plain_classes(rows)
+    assert {len(ngramjoin.counts_of(np.arange(n, dtype=np.uint64))) for n in (1, 500, 530, 4097)} == {64, 128, 1024}
+
+
 def test_prefix_of_similar_sets_meets():
     for n in range(1, 60):
         for m in range(n, 80):
