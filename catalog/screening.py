@@ -60,16 +60,24 @@ pr7 AS (SELECT *, CAST(abs(x0) > cap + 1e-9 AS INT) + CAST(abs(y0) > cap + 1e-9
         return f"rank() OVER (PARTITION BY i, j, subject ORDER BY round({c}, 9)) + (count(*) OVER (PARTITION BY i, j, subject, round({c}, 9)) - 1) / 2.0"
     u, v, s = ("rx", "ry", "rz") if ranked else ("x", "y", "rest")
     ctes += f"rk AS (SELECT *, row_number() OVER (PARTITION BY i, j, subject ORDER BY time) AS rn, {rank('x')} AS rx, {rank('y')} AS ry, {rank('rest')} AS rz FROM pr8),\n"
+    # The series whose autocorrelation counts: ranks under Spearman, and residuals given the rest.
+    eu, ev, es = ("rx", "ry", "rz") if o.method == "spearman" else ("x", "y", "rest")
+    held = o.partial_rest and o.transform == "raw" and not (o.method == "spearman" and o.partial_method == "matrix")
+    def residual(c):
+        w = "OVER (PARTITION BY i, j, subject)"
+        line = f"{c} - regr_intercept({c}, {es}) {w} - regr_slope({c}, {es}) {w} * {es}"
+        return f"CASE WHEN var_samp(rest) {w} >= 1e-12 AND count(*) {w} >= 3 THEN coalesce({line}, {c}) ELSE {c} END" if held else c
+    ctes += f"rs AS (SELECT *, {residual(eu)} AS ex, {residual(ev)} AS ey FROM rk),\n"
     corr = "CASE WHEN var_pop({a}) > 0 AND var_pop({b}) > 0 THEN greatest(-1.0, least(1.0, covar_pop({a}, {b}) / sqrt(var_pop({a}) * var_pop({b})))) END"
     plain = corr.format(a=u, b=v)
-    ctes += f"""base AS (SELECT i, j, subject, count(*) AS n, avg(x) AS mx, avg(y) AS my, {plain} AS rxy, {corr.format(a=u, b=s)} AS rxz, {corr.format(a=v, b=s)} AS ryz, var_samp(rest) AS vr,
-  sum((x) * (x)) - count(*) * avg(x) * avg(x) AS c0x, sum(y * y) - count(*) * avg(y) * avg(y) AS c0y,
-  avg(CASE WHEN ci = 0 AND cj = 0 THEN 1.0 ELSE 0.0 END) AS cozero_frac, sum(floor_hit) AS floor_hits, sum(cap_hit) AS cap_hits FROM rk GROUP BY i, j, subject HAVING count(*) >= {o.min_n}),
+    ctes += f"""base AS (SELECT i, j, subject, count(*) AS n, avg(ex) AS mx, avg(ey) AS my, {plain} AS rxy, {corr.format(a=u, b=s)} AS rxz, {corr.format(a=v, b=s)} AS ryz, var_samp(rest) AS vr,
+  sum(ex * ex) - count(*) * avg(ex) * avg(ex) AS c0x, sum(ey * ey) - count(*) * avg(ey) * avg(ey) AS c0y,
+  avg(CASE WHEN ci = 0 AND cj = 0 THEN 1.0 ELSE 0.0 END) AS cozero_frac, sum(floor_hit) AS floor_hits, sum(cap_hit) AS cap_hits FROM rs GROUP BY i, j, subject HAVING count(*) >= {o.min_n}),
 """
     bound = {"nw": "greatest(1, floor(4 * pow(n / 100.0, 2.0 / 9.0)))", "bartlett": "floor(sqrt(n))", "ar1": "1"}[o.effn_method]
-    ctes += f"""acv AS (SELECT a.i, a.j, a.subject, k.k, sum((a.x - b.mx) * (c.x - b.mx)) AS cx, sum((a.y - b.my) * (c.y - b.my)) AS cy FROM rk a
+    ctes += f"""acv AS (SELECT a.i, a.j, a.subject, k.k, sum((a.ex - b.mx) * (c.ex - b.mx)) AS cx, sum((a.ey - b.my) * (c.ey - b.my)) AS cy FROM rs a
   JOIN base b ON a.i = b.i AND a.j = b.j AND a.subject = b.subject JOIN (SELECT unnest(range(1, 40)) AS k) k ON k.k <= {bound.replace('n', 'b.n') if o.effn_method != 'ar1' else 1}
-  JOIN rk c ON c.i = a.i AND c.j = a.j AND c.subject = a.subject AND c.rn = a.rn + k.k GROUP BY a.i, a.j, a.subject, k.k),
+  JOIN rs c ON c.i = a.i AND c.j = a.j AND c.subject = a.subject AND c.rn = a.rn + k.k GROUP BY a.i, a.j, a.subject, k.k),
 rho AS (SELECT a.i, a.j, a.subject, a.k, b.n, CASE WHEN c0x > 0 THEN greatest(-0.99, least(0.99, cx / c0x)) ELSE 0.0 END AS px, CASE WHEN c0y > 0 THEN greatest(-0.99, least(0.99, cy / c0y)) ELSE 0.0 END AS py
   FROM acv a JOIN base b ON a.i = b.i AND a.j = b.j AND a.subject = b.subject),
 """
@@ -231,6 +239,9 @@ QUERIES = {
     "subject_detrend": subject_query("events", detrend=True),
     "subject_spearman": subject_query("users", method="spearman", effn_method="ar1"),
     "subject_raw_pearson": subject_query("users", transform="raw", acf_correction=False),
+    "subject_raw_partial": subject_query("users", transform="raw", partial_rest=True),
+    "subject_raw_partial_ranks": subject_query("users", transform="raw", partial_rest=True, method="spearman"),
+    "subject_rank_matrix_ar1": subject_query("events", transform="raw", partial_rest=True, partial_method="matrix", method="spearman", effn_method="ar1"),
     "subject_raw_partial_matrix": subject_query("users", transform="raw", partial_rest=True, partial_method="matrix"),
     "subject_cozero_exclude": subject_query("users", cozero_check=True, cozero_tol=0.4),
 }

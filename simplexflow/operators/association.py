@@ -2,35 +2,39 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from simplexflow.functions.scalars import check_choice, clamp, corr_from_sums, partial_corr, ratio
 from simplexflow.operators.pairs import SERIES, TILE
-from simplexflow.operators.timeaxis import ordered_slices, rows_before_slice
+from simplexflow.operators.timeaxis import SLICE_ROWS, ordered_slices, rows_before_slice
 
 EFFN_METHODS = ("nw", "bartlett", "ar1")
 
 
-def average_rank(df: DataFrame, by: list[str], column: str, slice_rows: int | None = None) -> DataFrame:
+def average_rank(df: DataFrame, by: list[str], column: str, slice_rows: int | None = None, counted: Column | None = None) -> DataFrame:
     """Add ``<column>_rank``: rank with ties at their average.
 
     Without ``slice_rows`` each group is ranked by one window.  With it, groups above
-    that size are ranked slice by slice and the rows of earlier slices are added.
+    that size are ranked slice by slice and the rows of earlier slices are added.  Rows that are not
+    ``counted`` (copies of counted ones, as in a halo) get the rank of their value and change no other.
     """
-    ties = F.count("*").over(W.partitionBy(*by, column))
+    one = F.lit(1) if counted is None else counted.cast("int")
     if slice_rows is None:
-        rank = F.rank().over(W.partitionBy(*by).orderBy(column))
-        return df.withColumn(f"{column}_rank", rank + (ties - 1) / F.lit(2.0))
+        ties = F.sum(one).over(W.partitionBy(*by, column))
+        upto = F.sum(one).over(W.partitionBy(*by).orderBy(column))
+        return df.withColumn(f"{column}_rank", upto - (ties - 1) / F.lit(2.0))
     sliced = ordered_slices(df, by, column, slice_rows)
     inside = W.partitionBy(*by, "_slice")
-    ranked = sliced.withColumn("_rank", F.rank().over(inside.orderBy(column))).withColumn(
-        "_ties", F.count("*").over(W.partitionBy(*by, "_slice", column))
+    ranked = sliced.withColumn("_upto", F.sum(one).over(inside.orderBy(column))).withColumn(
+        "_ties", F.sum(one).over(W.partitionBy(*by, "_slice", column))
     )
-    ranked = ranked.join(rows_before_slice(sliced, by), [*by, "_slice"])
-    value = F.col("_before") + F.col("_rank") + (F.col("_ties") - 1) / F.lit(2.0)
-    return ranked.withColumn(f"{column}_rank", value).drop("_slice", "_rank", "_ties", "_before")
+    ranked = ranked.join(rows_before_slice(sliced, by, one), [*by, "_slice"])
+    value = F.col("_before") + F.col("_upto") - (F.col("_ties") - 1) / F.lit(2.0)
+    return ranked.withColumn(f"{column}_rank", value).drop("_slice", "_upto", "_ties", "_before")
 
 
 def lag_bound(n: Column, method: str, bandwidth: int | None = None) -> Column:
@@ -70,37 +74,57 @@ def moment_sums(cols: list[str]) -> dict[str, Column]:
     return out
 
 
-def lag_sums(cols: list[str], lags: int) -> dict[str, Column]:
-    """Per lag: products, and the sums of both overlapping ends."""
+def lag_sums(cols: list[str], lags: int, given: str | None = None) -> dict[str, Column]:
+    """Per lag: products, and the sums of both overlapping ends; with ``given`` also the products with that column."""
     out = {}
     for k in range(1, lags + 1):
-        for c in cols:
+        for c in [*cols, *([given] if given else [])]:
             prev = F.col(f"_{c}{k}")
             out[f"p_{c}{k}"] = F.sum(F.col(c) * prev)
             out[f"h_{c}{k}"] = F.sum(prev)
             out[f"t_{c}{k}"] = F.sum(F.when(prev.isNotNull(), F.col(c)))
+            if given and c != given:  # both orders: either column may be the later one
+                out[f"p_{c}_{given}{k}"] = F.sum(F.col(c) * F.col(f"_{given}{k}") + F.col(given) * prev)
     return out
 
 
-def with_autocorrelation(sums: DataFrame, cols: list[str], lags: int) -> DataFrame:
+def with_autocorrelation(sums: DataFrame, cols: list[str], lags: int, given: str | None = None, usable: Column | None = None) -> DataFrame:
     """Add ``rho_<col><k>`` from lag sums: demeaned, divisor n, non-finite to 0, within 0.99.
 
+    With ``given`` the autocorrelation is that of the residuals of a line on that column where ``usable`` holds.  With the
+    slope b and C_ab(k) the demeaned lagged products, it is the quadratic form C_cc - b (C_cz + C_zc) + b^2 C_zz of additive
+    sums, so neither slope nor residual need a second pass over the rows.
     Done in steps, each a named column, so no expression is repeated in generated code.
     """
     n = F.col("n")
-    out = sums.withColumns({f"_m_{c}": F.col(f"s_{c}") / n for c in cols})
-    out = out.withColumns({f"_c0_{c}": F.col(f"s_{c}{c}") - n * F.col(f"_m_{c}") * F.col(f"_m_{c}") for c in cols})
+    every = [*cols, *([given] if given else [])]
+    out = sums.withColumns({f"_m_{c}": F.col(f"s_{c}") / n for c in every})
+    out = out.withColumns({f"_c0_{c}": F.col(f"s_{c}{c}") - n * F.col(f"_m_{c}") * F.col(f"_m_{c}") for c in every})
+    if given:
+        cross = {c: F.col(f"s_{c}{given}") - n * F.col(f"_m_{c}") * F.col(f"_m_{given}") for c in cols}
+        out = out.withColumns({f"_b_{c}": F.when(usable, F.coalesce(ratio(cross[c], F.col(f"_c0_{given}")), F.lit(0.0))).otherwise(0.0) for c in cols})
+        out = out.withColumns({f"_c0_{c}": F.col(f"_c0_{c}") - F.col(f"_b_{c}") * F.col(f"_b_{c}") * F.col(f"_c0_{given}") for c in cols})
     raw, clean = {}, {}
     for c in cols:
         for k in range(1, lags + 1):
-            ends = F.col(f"h_{c}{k}") + F.col(f"t_{c}{k}")
-            mean = F.col(f"_m_{c}")
-            ck = F.col(f"p_{c}{k}") - mean * ends + (n - k) * mean * mean
+            ck = _lagged_product(c, k, n)
+            if given:
+                ends = {d: F.col(f"h_{d}{k}") + F.col(f"t_{d}{k}") for d in (c, given)}
+                means = F.col(f"_m_{c}"), F.col(f"_m_{given}")
+                mixed = F.col(f"p_{c}_{given}{k}") - means[0] * ends[given] - means[1] * ends[c] + 2 * (n - k) * means[0] * means[1]
+                slope = F.col(f"_b_{c}")
+                ck = ck - slope * mixed + slope * slope * _lagged_product(given, k, n)
             raw[f"rho_{c}{k}"] = F.when(n > k, ratio(ck, F.col(f"_c0_{c}")))
             clean[f"rho_{c}{k}"] = clamp(F.coalesce(f"rho_{c}{k}", F.lit(0.0)), -0.99, 0.99)
     return out.withColumns(raw).withColumns(clean)
 
 
+def _lagged_product(c: str, k: int, n: Column) -> Column:
+    """Demeaned sum of products of a column with itself k rows earlier."""
+    mean = F.col(f"_m_{c}")
+    return F.col(f"p_{c}{k}") - mean * (F.col(f"h_{c}{k}") + F.col(f"t_{c}{k}")) + (n - k) * mean * mean
+
+
 def raw_effective_n(x: str, y: str, lags: int, method: str, bandwidth=None, phi_limit=0.95) -> Column:
     """Length of an uncorrelated sample with the same information, from ``rho`` columns."""
     n = F.col("n").cast("double")
@@ -123,26 +147,68 @@ def adjusted_n(n: Column, raw: Column, blend=0.5, min_frac=0.6) -> Column:
     return F.greatest(F.lit(3.0), F.floor(F.greatest(mixed, F.lit(min_frac) * n)).cast("double"))
 
 
-def effective_n(df, x="x", y="y", time="time", by=("subject",), method="nw", bandwidth=None) -> DataFrame:
+#: Rows of a block of a series whose lagged products are taken together.
+BLOCK_ROWS = 8192
+
+
+def _block_products(key: tuple, table: pa.Table) -> pa.Table:
+    """Sums over a block's own rows of x and y with their values 1 to L rows earlier, for all L at once.
+
+    The product at lag k is the correlation of the block with itself and its halo: one transform of the block with zeros
+    in the halo, one of both, and the transform back of their product (overlap-save).
+    """
+    table = table.sort_by("_at")
+    own = ~table.column("_halo").to_numpy()
+    lags = int(table.column("_lags")[0].as_py())
+    n = len(own)
+    size = 1 << (n + lags).bit_length()
+    out = {"_k": np.arange(1, lags + 1, dtype=np.int32)}
+    for c in ("_x", "_y"):
+        v = table.column(c).to_numpy()
+        both = np.fft.rfft(np.where(own, v, 0.0), size) * np.conj(np.fft.rfft(v, size))
+        out[c] = np.fft.irfft(both, size)[1:lags + 1]
+    return pa.table({**{c: pa.array([k.as_py()] * lags, table.schema.field(c).type) for c, k in zip(table.column_names, key[:-1])}, **out})
+
+
+def lagged_products(rows: DataFrame, by: list[str], block: int = BLOCK_ROWS) -> DataFrame:
+    """``by, _k, _cx, _cy``: sums of lagged products of demeaned ``_x``, ``_y`` at positions ``_at`` (from 0) up to ``_lags`` of each group.
+
+    A series is cut into blocks of ``block`` rows, or of its own number of lags if that is more, and each block also gets
+    the rows before it that its lags reach.  So a row is sent twice at most and a block returns one row per lag: neither the plan nor
+    the number of rows grows with the lags, and a series is never in one task.
+    """
+    size = F.greatest(F.lit(block), F.col("_lags")).cast("bigint")
+    mine = F.floor(F.col("_at") / size)
+    reach = F.when((F.col("_at") % size >= size - F.col("_lags")) & ((mine + 1) * size < F.col("n")), F.array(mine, mine + 1)).otherwise(F.array(mine))
+    dealt = rows.where("_lags > 0").withColumn("_mine", mine).withColumn("_block", F.explode(reach)).withColumn("_halo", F.col("_block") > F.col("_mine"))
+    dealt = dealt.select(*by, "_block", "_at", "_x", "_y", "_lags", "_halo")
+    fields = ", ".join(f"`{c}` {dealt.schema[c].dataType.simpleString()}" for c in by)
+    sums = dealt.groupBy(*by, "_block").applyInArrow(_block_products, f"{fields}, _k int, _x double, _y double")
+    return sums.groupBy(*by, "_k").agg(F.sum("_x").alias("_cx"), F.sum("_y").alias("_cy"))
+
+
+def numbered(rows: DataFrame, by: list[str], order: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Add ``_at``, the position from 0 in ``order``, and ``n``; hot groups are counted slice by slice."""
+    sliced = ordered_slices(rows, by, order, slice_rows, "n")
+    inside = W.partitionBy(*by, "_slice").orderBy(order)
+    placed = sliced.join(rows_before_slice(sliced, by), [*by, "_slice"])
+    return placed.withColumn("_at", (F.col("_before") + F.row_number().over(inside) - 1).cast("bigint")).drop("_slice", "_before")
+
+
+def effective_n(df, x="x", y="y", time="time", by=("subject",), method="nw", bandwidth=None, block: int = BLOCK_ROWS) -> DataFrame:
     """Effective length of a pair of series for each group, one row per group.
 
-    Every series is summed over as many lags as its own length asks for; lags are rows of
-    a table, so the plan does not grow with them.
+    Every series is summed over as many lags as its own length asks for, block by block (see ``lagged_products``).
     """
     by = list(by)
-    rows = df.select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"), F.row_number().over(W.partitionBy(*by).orderBy(time)).alias("_at"))
-    stats = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"))
-    rows = rows.join(stats.withColumn("_lags", lag_bound(F.col("n"), method, bandwidth).cast("int")), by)
+    rows = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), F.col(time).alias("_time"))
+    stats = rows.groupBy(*by).agg(F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"))
+    rows = numbered(rows, by, "_time").join(stats, by).withColumn("_lags", lag_bound(F.col("n"), method, bandwidth).cast("int"))
     rows = rows.select(*by, "n", "_lags", "_at", (F.col("_x") - F.col("_mx")).alias("_x"), (F.col("_y") - F.col("_my")).alias("_y"))
-    last = F.least(F.col("_lags"), (F.col("n") - F.col("_at")).cast("int"))
-    lags = F.when(last >= 1, F.sequence(F.lit(1), last))
-    ahead = rows.select(*by, F.col("_at").alias("_from"), F.col("_x").alias("_px"), F.col("_y").alias("_py"), F.explode(lags).alias("_k"))
-    ahead = ahead.withColumn("_at", F.col("_from") + F.col("_k"))
-    product = ahead.join(rows.select(*by, "_at", "_x", "_y"), [*by, "_at"]).groupBy(*by, "_k").agg(
-        F.sum(F.col("_px") * F.col("_x")).alias("_cx"), F.sum(F.col("_py") * F.col("_y")).alias("_cy"))
+    product = lagged_products(rows, by, block)
     zero = rows.groupBy(*by, "n").agg(F.sum(F.col("_x") * F.col("_x")).alias("_x0"), F.sum(F.col("_y") * F.col("_y")).alias("_y0"))
     rho = lambda c, c0: clamp(F.coalesce(ratio(F.col(c), F.col(c0)), F.lit(0.0)), -0.99, 0.99)
-    both = product.join(zero, by).select(*by, "n", "_k", (rho("_cx", "_x0") * rho("_cy", "_y0")).alias("_rr"))
+    both = product.join(zero, by).where("_k < n").select(*by, "n", "_k", (rho("_cx", "_x0") * rho("_cy", "_y0")).alias("_rr"))
     weight = F.lit(1.0) if method == "ar1" else F.greatest(F.lit(0.0), 1 - F.col("_k") / (lag_bound(F.col("n"), method, bandwidth) + 1))
     total = both.groupBy(*by).agg(F.sum(weight * F.col("_rr")).alias("_total"))
     out = zero.join(total, by, "left").withColumn("_total", F.coalesce("_total", F.lit(0.0)))
@@ -161,10 +227,15 @@ def plain_correlation(x: str, y: str) -> Column:
     return corr_from_sums(*[F.col(c) for c in ("n", f"s_{x}", f"s_{y}", f"s_{x}{x}", f"s_{y}{y}", pair)])
 
 
+def rest_usable(rest_var: str) -> Column:
+    """Whether the rest varies enough to be held fixed."""
+    return (F.col(rest_var) >= F.lit(1e-12)) & (F.col("n") >= 3)
+
+
 def with_rest_correlation(sums: DataFrame, x: str, y: str, z: str, rest_var: str, floor: float) -> DataFrame:
     """Add ``r``: partial correlation given the rest, or plain when the rest hardly varies."""
     parts = {"_rxy": plain_correlation(x, y), "_rxz": plain_correlation(x, z), "_ryz": plain_correlation(y, z)}
-    usable = (F.col(rest_var) >= F.lit(1e-12)) & (F.col("n") >= 3)
+    usable = rest_usable(rest_var)
     partial = partial_corr(F.col("_rxy"), F.col("_rxz"), F.col("_ryz"), floor)
     return sums.withColumns(parts).withColumn("r", F.when(usable, partial).otherwise(F.col("_rxy")))
 

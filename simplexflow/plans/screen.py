@@ -95,13 +95,15 @@ def screen_rows(panel, samples, taxa=None, interesting=None, o: ScreenOptions |
     axis = panel_axis(panel, samples, o.merge_tol)
     profile = X.profile_axis(axis, o.chunk_rows)
     lags = A.longest_lag(profile.longest, o.effn_method, o.effn_L)
+    if not profile.one_chunk and lags > o.chunk_rows:
+        raise ValueError(f"{lags} lags reach over a chunk of {o.chunk_rows} times; raise chunk_rows")
     cells = S.cells_on_axis(panel, axis)
     total = axis.agg(F.count("*").alias("n"))
     kept = S.filter_taxa(cells, total, o.mean_ra_cut, o.prevalence_cut)
     if taxa is not None:
         kept = S.require_taxa(kept, taxa, 1)
     members = cut(subject_support(kept, axis, o))
-    seats = X.assign_chunks(axis, o.chunk_rows, 0 if profile.one_chunk else min(lags, o.chunk_rows))
+    seats = X.assign_chunks(axis, o.chunk_rows, 0 if profile.one_chunk else lags)
     dense = P.dense_series(kept, seats, members)
     rows = P.pair_rows(dense, carry=["min_pos"], touching=interesting, blocks=o.blocks)
     rows = C.triplet(rows)
@@ -160,20 +162,23 @@ def subject_table(panel, samples, taxa=None, interesting=None, o: ScreenOptions
     base = ["x", "y", "rest"] if (o.partial_rest and o.transform == "raw") else ["x", "y"]
     used = base
     ranked = o.method == "spearman" or (len(base) == 3 and o.partial_method == "matrix")
-    lag_cols = ["x", "y"]
-    if o.acf_correction:
-        rows = A.lagged_values(rows, lag_cols, lags)
-    rows = rows.filter(~F.col("halo"))
     if ranked:
         # Values equal to nine decimals are ties; log-ratios of equal shares differ in the last bits.
         rows = rows.withColumns({f"{c}_key": F.round(c, 9) for c in base})
         for c in [f"{b}_key" for b in base]:
             by = [*P.TILE, "i", "j"] if profile.one_chunk else P.SERIES
-            rows = A.average_rank(rows, by, c, None if profile.one_chunk else X.SLICE_ROWS)
+            rows = A.average_rank(rows, by, c, None if profile.one_chunk else X.SLICE_ROWS, None if profile.one_chunk else ~F.col("halo"))
         used = [f"{c}_key_rank" for c in base]
-    sums = A.moment_sums(list(dict.fromkeys([*used, "x", "y"])))
+    # The effective length is that of the series that are correlated: ranks, and residuals where the rest is held fixed.
+    series = used if o.method == "spearman" else base
+    given = series[2] if len(base) == 3 and not (o.method == "spearman" and o.partial_method == "matrix") else None
+    lag_cols = series[:2]
+    if o.acf_correction:
+        rows = A.lagged_values(rows, series if given else lag_cols, lags)
+    rows = rows.filter(~F.col("halo"))
+    sums = A.moment_sums(list(dict.fromkeys([*used, *lag_cols, *([given] if given else [])])))
     if o.acf_correction:
-        sums.update(A.lag_sums(lag_cols, lags))
+        sums.update(A.lag_sums(lag_cols, lags, given))
     sums["_rest_var"] = F.var_samp("rest")
     for c in ("cozero", "floor_hit", "cap_hit", "members"):
         sums[f"_{c}"] = F.sum(c)
@@ -187,8 +192,8 @@ def subject_table(panel, samples, taxa=None, interesting=None, o: ScreenOptions
     n = F.col("n")
     if o.acf_correction:
         limit = min(o.effn_phi_cap, 0.95) if o.effn_method == "ar1" else 0.95
-        table = A.with_autocorrelation(table, ["x", "y"], lags)
-        table = table.withColumn("_raw_n", A.raw_effective_n("x", "y", lags, o.effn_method, o.effn_L, limit))
+        table = A.with_autocorrelation(table, lag_cols, lags, given, A.rest_usable("_rest_var"))
+        table = table.withColumn("_raw_n", A.raw_effective_n(*lag_cols, lags, o.effn_method, o.effn_L, limit))
         raw, n_eff = F.col("_raw_n"), A.adjusted_n(n, F.col("_raw_n"), o.effn_blend, o.effn_min_frac)
     else:
         raw, n_eff = n.cast("double"), n.cast("double")
