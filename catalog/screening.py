@@ -110,12 +110,30 @@ T_P = """CASE WHEN df % 2 = 1 THEN 1 - 2 / pi() * (th + CASE WHEN df > 1 THEN si
  ELSE 1 - sin(th) * list_sum(list_transform(range(0, CAST(df / 2 AS BIGINT)), lambda q: exp(lgamma(q + 0.5) - lgamma(q + 1.0)) / sqrt(pi()) * pow(cos(th), 2 * q))) END"""
 
 
+def _reml_sql() -> str:
+    """Fisher scoring of the restricted likelihood over lists of effects: 400 steps from the moment estimate."""
+    w = "(1 / (vs[q] + t))"
+    total = lambda term: f"list_sum(list_transform(range(1, len(vs) + 1), lambda q: {term}))"
+    a, c, d = total(w), total(f"{w} * {w}"), total(f"{w} * {w} * {w}")
+    mu = f"({total(f'{w} * zs[q]')} / {a})"
+    excess = f"({total(f'{w} * {w} * zs[q] * zs[q]')} - 2 * {mu} * {total(f'{w} * {w} * zs[q]')} + {mu} * {mu} * {c} - ({a} - {c} / {a}))"
+    step = f"greatest(0.0, t + {excess} / ({c} - 2 * {d} / {a} + ({c} / {a}) * ({c} / {a})))"
+    return f"""SELECT i, j, list_reduce(list_concat([t0], list_transform(range(400), lambda s: 0.0::DOUBLE)), lambda t, s: {step}) AS t2 FROM (
+  SELECT i, j, list(v ORDER BY v, z) AS vs, list(z ORDER BY v, z) AS zs, greatest(0.0, var_samp(z) - avg(v)) AS t0 FROM ok GROUP BY i, j HAVING count(*) >= 2)"""
+
+
+REML_SQL = _reml_sql()
+
+
 def pooled_sql(o: ScreenOptions) -> str:
     """CTEs from ``subj`` to ``pooled``: DerSimonian-Laird with the Knapp-Hartung interval."""
+    tau2 = "CASE WHEN c > 0 THEN greatest(0.0, (q - (k - 1)) / c) ELSE 0.0 END"
+    if o.meta_method == "REML":
+        tau2 = f"(SELECT t2 FROM ({REML_SQL}) r WHERE r.i = d2.i AND r.j = d2.j)"
     return f"""ok AS (SELECT i, j, z, v, 1 / v AS w FROM subj WHERE z IS NOT NULL AND v IS NOT NULL),
 d1 AS (SELECT i, j, count(*) AS k, sum(w) AS sw, sum(w * w) AS sww, sum(w * z) / sum(w) AS mu0 FROM ok GROUP BY i, j),
 d2 AS (SELECT ok.i, ok.j, max(k) AS k, max(sw) AS sw, max(sw - sww / sw) AS c, sum(w * (z - mu0) * (z - mu0)) AS q FROM ok JOIN d1 ON ok.i = d1.i AND ok.j = d1.j GROUP BY ok.i, ok.j),
-d3 AS (SELECT *, CASE WHEN c > 0 THEN greatest(0.0, (q - (k - 1)) / c) ELSE 0.0 END AS t2 FROM d2),
+d3 AS (SELECT *, {tau2} AS t2 FROM d2),
 d4 AS (SELECT ok.i, ok.j, sum(1 / (v + t2)) AS sws, sum(z / (v + t2)) / sum(1 / (v + t2)) AS mu FROM ok JOIN d3 ON ok.i = d3.i AND ok.j = d3.j GROUP BY ok.i, ok.j),
 d5 AS (SELECT ok.i, ok.j, sum((z - mu) * (z - mu) / (v + t2)) AS ss FROM ok JOIN d3 ON ok.i = d3.i AND ok.j = d3.j JOIN d4 ON ok.i = d4.i AND ok.j = d4.j GROUP BY ok.i, ok.j),
 d6 AS (SELECT d3.i, d3.j, CAST(k AS BIGINT) AS k, mu AS z_pooled, {"sqrt(ss / ((k - 1) * sws))" if o.use_knha else "sqrt(1 / sws)"} AS se, tanh(mu) AS r_pooled, t2 AS tau2,
@@ -216,6 +234,16 @@ def reml_query():
     return run, None
 
 
+def reml_pooled_query(name: str, **options):
+    o = ScreenOptions(meta_method="REML", **options)
+
+    def run(spark, sf):
+        panel, samples = build(spark, sf, name)
+        return rounded(screen(panel, samples, meta_method="REML", **options)["meta"], ["i", "j", "k"], ["z_pooled", "se", "r_pooled", "tau2", "i2", "p"])
+
+    return run, rounded_sql(meta_sql(name, o), "meta", ["i", "j", "k"], ["z_pooled", "se", "r_pooled", "tau2", "i2", "p"])
+
+
 QUERIES = {
     "screen_events": meta_query("events"),
     "screen_brand": meta_query("brand"),
@@ -231,6 +259,8 @@ QUERIES = {
     "screen_cozero_flag": cozero_query(),
     "screen_interesting": interesting_query(),
     "screen_reml": reml_query(),
+    "screen_reml_pooled": reml_pooled_query("events"),
+    "screen_reml_bonett": reml_pooled_query("type", method="spearman"),
     "subject_alr_default": subject_query("users"),
     "subject_zero_time_triplet": subject_query("users", zero_mode="minpos_time", zero_minpos_base="triplet"),
     "subject_zero_subject_triplet": subject_query("users", zero_minpos_base="triplet", rest_floor_frac=2.0),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,28 +32,40 @@ def variance_label(var_method: str, method: str) -> str:
     return "bonett" if var_method == "auto" else var_method
 
 
-def reml_tau2(v, m, sz, szz, steps: int = 10_000, tol: float = 1e-10) -> float | None:
-    """REML between-subject variance by Fisher scoring.
+def reml_tau2(same: DataFrame, by: list[str], tol: float = 1e-10, rounds: int = 2500, steps: int = 4) -> DataFrame:
+    """``by, tau2``: the REML between-subject variance of every pair by joint Fisher scoring.
 
-    Effects of equal variance ``v`` enter by their number ``m``, sum and sum of squares.
+    ``same`` has effects of equal variance ``v`` by their number ``_m``, sum ``_sz`` and sum of squares ``_szz``.  A step joins the
+    current values of all open pairs to these rows and takes six sums by a partial aggregate, so no pair's rows meet in one task.
+    ``steps`` steps make one job; pairs that moved by less than ``tol`` in its last step are settled and leave.
     """
-    v, m, sz, szz = (np.asarray(c, float) for c in (v, m, sz, szz))
-    n = m.sum()
-    if n < 2:
-        return None
-    tau2 = max(0.0, float((szz.sum() - sz.sum() ** 2 / n) / (n - 1) - (m * v).sum() / n))
-    for _ in range(steps):
-        w = 1 / (v + tau2)
-        total = (m * w).sum()
-        mu = (w * sz).sum() / total
-        square = (m * w * w).sum()
-        trace = total - square / total
-        curve = square - 2 * (m * w**3).sum() / total + (square / total) ** 2
-        nxt = max(0.0, tau2 + ((w * w * (szz - 2 * mu * sz + m * mu * mu)).sum() - trace) / curve)
-        if abs(nxt - tau2) < tol:
-            return nxt
-        tau2 = nxt
-    return tau2
+    m, sz, szz, v = (F.col(c) for c in ("_m", "_sz", "_szz", "v"))
+    start = same.groupBy(*by).agg(F.sum(m).alias("_n"), F.sum(sz).alias("_z"), F.sum(szz).alias("_zz"), F.sum(m * v).alias("_v")).where("_n >= 2")
+    spread = (F.col("_zz") - F.col("_z") * F.col("_z") / F.col("_n")) / (F.col("_n") - 1)
+    open_ = start.select(*by, F.greatest(F.lit(0.0), spread - F.col("_v") / F.col("_n")).alias("tau2"))
+    settled = []
+    for turn in range(rounds):
+        for _ in range(steps):
+            w = 1 / (v + F.col("tau2"))
+            sums = same.join(open_.select(*by, "tau2"), by).withColumn("_w", w).groupBy(*by, "tau2").agg(
+                F.sum(m * F.col("_w")).alias("_a"), F.sum(sz * F.col("_w")).alias("_b"), F.sum(m * F.pow("_w", F.lit(2))).alias("_c"),
+                F.sum(m * F.pow("_w", F.lit(3))).alias("_d"), F.sum(szz * F.pow("_w", F.lit(2))).alias("_e"), F.sum(sz * F.pow("_w", F.lit(2))).alias("_f"))
+            mu, share = F.col("_b") / F.col("_a"), F.col("_c") / F.col("_a")
+            excess = F.col("_e") - 2 * mu * F.col("_f") + mu * mu * F.col("_c") - (F.col("_a") - share)
+            curve = F.col("_c") - 2 * F.col("_d") / F.col("_a") + share * share
+            moved = F.greatest(F.lit(0.0), F.col("tau2") + F.coalesce(ratio(excess, curve), F.lit(0.0)))
+            open_ = sums.select(*by, moved.alias("tau2"), F.abs(moved - F.col("tau2")).alias("_moved"))
+        open_ = cut(open_)
+        still = open_.where(F.col("_moved") >= tol)
+        if turn == rounds - 1 or still.isEmpty():
+            settled.append(open_)
+            break
+        settled.append(open_.where(F.col("_moved") < tol))
+        open_ = still
+    out = settled[0]
+    for part in settled[1:]:
+        out = out.unionByName(part)
+    return out.select(*by, "tau2")
 
 
 def pool_effects(effects, by=None, method="DL", knha=True, min_k=2, with_p=True, extra=None) -> DataFrame:
@@ -82,12 +92,7 @@ def pool_effects(effects, by=None, method="DL", knha=True, min_k=2, with_p=True,
         sums = sums.withColumn("tau2", F.coalesce(tau2, F.lit(0.0)))
     else:
         same = cut(same)
-
-        def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame([(*key, reml_tau2(pdf["v"], pdf["_m"], pdf["_sz"], pdf["_szz"]))], columns=[*by, "tau2"])
-
-        fields = ", ".join(f"`{c}` {same.schema[c].dataType.simpleString()}" for c in by)
-        sums = sums.join(same.groupBy(*by).applyInPandas(solve, f"{fields}, tau2 double"), by, "left")
+        sums = sums.join(reml_tau2(same, by), by, "left")
     star = 1 / (F.col("v") + F.col("tau2"))
     second = same.join(sums.select(*by, "tau2"), by).withColumn("_ws", star).groupBy(*by).agg(
         F.sum(F.col("_ws") * F.col("_m")).alias("_sws"), F.sum(F.col("_ws") * F.col("_sz")).alias("_swsz"), F.sum(F.col("_ws") * F.col("_szz")).alias("_swszz"))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simplexflow.functions.scalars import check_choice
+from simplexflow.functions.scalars import check_choice, clamp
 from simplexflow.operators import gram as G
 from simplexflow.operators import inputs as I
 from simplexflow.operators import kfold as K
@@ -141,10 +141,20 @@ def regression_rows(pair_rows: DataFrame, profile: X.AxisProfile, o: FitOptions)
             ).withColumn(c, F.col(f"_{c}s")).drop(f"_{c}s", "edf")
     out = I.directed_rows(rows, o.lag, o.transform, o.nz_partner_min_frac)
     if o.standardize_by_subject and not o.compute_elpd:
-        out = I.zscore(out, [*P.TILE, "from", "to"], ["xi", "xj", "y"])
+        out = _subject_scores(out, profile)
     return out
 
 
+def _subject_scores(rows: DataFrame, profile: X.AxisProfile) -> DataFrame:
+    """z scores by subject; subjects in several chunks take mean and deviation from sums over their own rows, without halos."""
+    cols = ["xi", "xj", "y"]
+    if profile.one_chunk:
+        return I.zscore(rows, [*P.TILE, "from", "to"], cols)
+    by = ["from", "to", "subject"]
+    scaled = I.apply_scale(rows, I.scale_table(rows.filter(~F.col("halo")), by, cols), by, cols)
+    return scaled.withColumns({c: clamp(c, -5.0, 5.0) for c in cols}).select(*rows.columns)
+
+
 def pair_inputs(panel: DataFrame, samples: DataFrame, *, guard: bool = True, **options) -> DataFrame:
     """The regression rows of every directed pair: ``from, to, subject, time, y, xi, xj``."""
     o = FitOptions(**options)
