@@ -10,7 +10,7 @@ integers of n bits.
 The automaton is sent to the tasks, so the benchmark is measured first; beyond ``shard_chars``
 characters it is cut by a hash of the items, and the corpus is read once per shard.
 
-Defined cases: a null or empty item matches nothing; an item below ``min_chars`` matches only a
+Defined cases: a null or empty item matches nothing; an item with a null id is found under that id; an item below ``min_chars`` matches only a
 text that is equal to it; null or empty texts match nothing; repeated items and rows are treated
 each by itself; an empty benchmark or corpus gives no row; other columns pass through.
 """
@@ -121,7 +121,7 @@ class Matcher:
                     lo, hi = d - budget, d + len(item) + budget
             if best:
                 out.append((item_id, *best))
-        return sorted(out)
+        return sorted(out, key=lambda h: (h[0] is not None, h))
 
 
 def hits_column(items: list[tuple[int, str]], text: str, rate: float, min_chars: int) -> Column:
@@ -147,7 +147,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, into: str = "hits", text: s
     shard = F.pmod(F.xxhash64(item_id, item_text), F.lit(shards))
     parts = []
     for n in range(shards):
-        items = [(r[0], r[1]) for r in benchmark.where(shard == n).select(item_id, item_text).collect() if r[0] is not None]
+        items = [(r[0], r[1]) for r in benchmark.where(shard == n).select(item_id, item_text).collect()]
         part = spare(docs, f"hits_{n}")
         docs = docs.withColumn(part, hits_column(sorted(items, key=str), text, rate, min_chars))
         parts.append(part)

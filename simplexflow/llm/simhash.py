@@ -361,7 +361,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size:
     Texts without any word share a group.  Rows with equal id and text are one document: the first
     by a hash of their other columns stays.
     """
-    group, key, order = spare(docs, "group"), spare(docs, "row_key"), spare(docs, "order")
+    group, key, order, own = (spare(docs, name) for name in ("group", "row_key", "order", "own_key"))
     prints = cut(docs.select(F.col(id_col).alias("id"), row_key(id_col, text).alias("row_key"), _set_column(text, size).alias("p")).select(
         "id", "row_key", "p.*"))
     each = cut(prints.select("unit", "fp", "n_shingles").distinct())
@@ -369,8 +369,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size:
     named = prints.select("id", "row_key", "unit").join(roots, "unit", "left").withColumn("root", F.coalesce("root", "unit"))
     keep = named.groupBy("root").agg(F.min(F.struct("id", "row_key")).alias("best")).select("best.*").select(
         F.col("id").alias(group), F.col("row_key").alias(key)).distinct()
-    rows = docs.withColumn("_own_key", row_key(id_col, text))
-    met = rows.join(keep, F.col(id_col).eqNullSafe(F.col(group)) & (F.col("_own_key") == F.col(key)), "left_semi")
+    rows = docs.withColumn(own, row_key(id_col, text))
+    met = rows.join(keep, F.col(id_col).eqNullSafe(F.col(group)) & (F.col(own) == F.col(key)), "left_semi")
     others = [c for c in docs.columns if c not in (id_col, text)]
-    place = Window.partitionBy(id_col, "_own_key").orderBy(F.xxhash64(*others) if others else F.lit(0))
+    place = Window.partitionBy(id_col, own).orderBy(F.xxhash64(*others) if others else F.lit(0))
     return met.withColumn(order, F.row_number().over(place)).where(F.col(order) == 1).select(*docs.columns)

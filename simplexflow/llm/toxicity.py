@@ -277,7 +277,10 @@ def _scorer(model: Model) -> Scorer:
 
 
 def judged(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
-    """Per row: ``doc_id``, ``held_out``, ``score``, ``predicted``; only labels of rows not held out are read."""
+    """Per row: ``doc_id``, ``held_out``, ``score``, ``predicted``; only labels of rows not held out are read.
+
+    A row without an id is not held out, and no label is its own.
+    """
     model = train(docs, labels.where(in_training(F.col("doc_id"))), **options)
     out = score(docs, model)
-    return out.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(~in_training(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

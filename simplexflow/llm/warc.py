@@ -210,11 +210,14 @@ def read(spark: SparkSession, folder: str, region: int = REGION) -> DataFrame:
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """Per record: id, type, ``refers_to`` and size and SHA-256 of the full payload, for revisits that of their response."""
-    own = records.select("page_id", "record_type", "refers_to", F.octet_length("payload").cast("bigint").alias("payload_bytes"),
+    """Per record: id, type, ``refers_to`` and size and SHA-256 of the full payload, for revisits that of their response.
+
+    A revisit names its response by id and digest, since ids may repeat.
+    """
+    own = records.select("page_id", "record_type", "refers_to", "said_digest", F.octet_length("payload").cast("bigint").alias("payload_bytes"),
                          F.sha2("payload", 256).alias("payload_digest"))
     own = cut(own)
     full = own.where("record_type = 'response'")
-    first = full.select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").distinct()
-    again = own.where("record_type = 'revisit'").drop("payload_bytes", "payload_digest").join(first, "refers_to", "left")
-    return full.unionByName(again)
+    first = full.select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("said_digest"), "payload_bytes", "payload_digest").distinct()
+    again = own.where("record_type = 'revisit'").drop("payload_bytes", "payload_digest").join(first, ["refers_to", "said_digest"], "left")
+    return full.unionByName(again).drop("said_digest")
