@@ -44,7 +44,7 @@ GROUPS, FAN, TILE, LEADERS = 64, 16, 1024, 16
 MEMBERS = 2048
 COMMON = 1 << 18
 #: Members of the sets that a task counts before it hands on the frequent ones.
-FLUSH = 4_000_000
+FLUSH = 1_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,8 +54,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes of result that a task hands on at once.
+PART = 1 << 22
 #: Bytes of text whose words are hashed together.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
 SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 #: A value for each byte, with A-Z as a-z.
@@ -309,7 +311,7 @@ def _keys(size: int, limit: tuple[int, int], common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen = Shingler(size), set()
         for batch in batches:
-            units, keys = [], []
+            units, keys, made = [], [], 0
             for grams in shingles.sets(batch.column(0)):
                 unit = unit_of(grams)
                 if len(grams) and unit not in seen:
@@ -317,6 +319,10 @@ def _keys(size: int, limit: tuple[int, int], common: np.ndarray):
                     p = prefix_length(len(grams), limit)
                     keys.append(grams[np.lexsort((grams, rank(grams)))[:p]] if len(grams) > 1 else grams)
                     units.append(np.full(len(keys[-1]), unit))
+                    made += p
+                if made > PART // 16:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(units)), pa.array(np.concatenate(keys).view(np.int64))], names=["unit", "key"])
+                    units, keys, made = [], [], 0
             if units:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(units)), pa.array(np.concatenate(keys).view(np.int64))], names=["unit", "key"])
             if len(seen) > 1_000_000:
@@ -333,13 +339,17 @@ def _read_again(docs: DataFrame, units: DataFrame, text: str, size: int, as_poin
         shingles, seen = Shingler(size), set()
         for batch in batches:
             batch = batch.filter(pa.array(bits.hits(batch.column(0).to_numpy())))
-            units, held = [], []
+            units, held, bytes_held = [], [], 0
             for grams in shingles.sets(batch.column(1)):
                 unit = unit_of(grams)
                 if unit not in seen:
                     seen.add(unit)
                     units.append(unit)
                     held.append((counts_of(grams) if as_points else grams).tobytes())
+                    bytes_held += len(held[-1])
+                if bytes_held > PART:
+                    yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(held, pa.binary())], names=["unit", "held"])
+                    units, held, bytes_held = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(held, pa.binary())], names=["unit", "held"])
             if len(seen) > 1_000_000:
                 seen = set()
