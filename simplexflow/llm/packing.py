@@ -1,7 +1,8 @@
 """Packing token sequences: best fit, then swaps that increase the squared fill until bins empty.
 
 A text is split at ASCII white space and each word is encoded once per worker while its cache lasts (the tokenizer drops
-white space and works word by word, so the ids of a text are those of its words in order).
+white space and works word by word, so the ids of a text are those of its words in order).  Arrow splits the texts, numbers
+their distinct words and gathers the ids; Python sees each distinct word of about ``GROUP`` bytes once.
 Texts longer than a sequence are cut; full pieces are sequences of their own.  All shorter
 pieces are dealt by a hash to shards of about ``shard_rows`` rows, whose number grows with the
 data; a shard holds lengths only, never text, and wastes at most about one sequence.
@@ -20,6 +21,8 @@ from __future__ import annotations
 
 import itertools
 import os
+import string
+import unicodedata
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -27,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,26 +44,68 @@ CACHED_WORDS = 1_000_000
 #: Stands between words that are encoded together; a word with this character is encoded alone.
 MARK = "\x01"
 BATCH = 4000
+#: Bytes of text whose words are looked up together.
+GROUP = 16 << 20
+PUNCTUATION = string.punctuation.encode()
 
 
 class WordIds:
-    """Little-endian 32-bit ids of white-space separated words, with a bounded cache."""
+    """Little-endian 32-bit ids of white-space separated words, with a bounded cache.
+
+    Where the tokenizer takes capitals for small letters and splits letters from ASCII punctuation behind them (both are tried), the
+    letters of a word are encoded once for all its spellings.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {b"": b""}
         mark = self.ids(MARK)
         self.mark = mark[0] if len(mark) == 1 else None
+        self.folds = self.ids(string.ascii_uppercase) == self.ids(string.ascii_lowercase)
+        self.splits = all(self.ids("ab" + c) == self.ids("ab") + self.ids(c) for c in string.punctuation)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > CACHED_WORDS:
-            self.known = {}
+        split, letters, others = [], {}, {}
+        for w in words:
+            low = w.lower() if self.folds else w
+            core = low.rstrip(PUNCTUATION) if self.splits else low
+            if core.isalpha() or unicodedata.normalize("NFC", core.decode("utf-8", "replace")).lower().isalpha():
+                tail = low[len(core):]
+                letters[core] = others[tail] = None
+                if core != w:
+                    split.append((w, core, tail))
+            else:
+                others[w] = None
+        left = self.learn_letters([w for w in letters if w not in self.known])
+        self.learn_marked([w for w in [*left, *others] if w not in self.known])
+        for w, core, tail in split:
+            self.known[w] = self.known[core] + self.known[tail]
+
+    def learn_letters(self, words: list[bytes]) -> list[bytes]:
+        """Learn words of letters, told apart by the tokens that end a word; those of a batch with another number of ends come back."""
+        left = []
+        for at in range(0, len(words), BATCH):
+            some = words[at:at + BATCH]
+            ids = np.array(self.ids(b" ".join(some).decode("utf-8")), dtype="<u4")
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(ends) == len(some) and ends[-1] == 4 * len(ids):
+                raw = ids.tobytes()
+                self.known.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends], ends))))
+            else:
+                left += some
+        return left
+
+    def learn_marked(self, words: list[bytes]) -> None:
         texts = [w.decode("utf-8", "replace") for w in words]
         together = [i for i, t in enumerate(texts) if MARK not in t and self.mark is not None]
         for at in range(0, len(together), BATCH):
@@ -75,20 +121,29 @@ class WordIds:
             if w not in self.known:
                 self.known[w] = np.array(self.ids(t), dtype="<u4").tobytes()
 
-    def many(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The ids of each text; new words of about ``BATCH`` words are encoded in one call."""
-        rows: list[list[bytes]] = []
-        new: dict[bytes, None] = {}
-        for n, text in enumerate(texts, 1):
-            rows.append((text or "").encode("utf-8", "surrogatepass").split())
-            new.update(dict.fromkeys(itertools.filterfalse(self.known.__contains__, rows[-1])))
-            if len(new) >= BATCH or n == len(texts):
-                if len(self.known) + len(new) > CACHED_WORDS:
-                    new = dict.fromkeys(w for row in rows for w in row)
-                self.learn(list(new))
-                for row in rows:
-                    yield b"".join(map(self.known.__getitem__, row))
-                rows, new = [], {}
+    def found(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of these distinct words."""
+        new = list(itertools.filterfalse(self.known.__contains__, words))
+        if len(self.known) + 2 * len(new) > CACHED_WORDS:
+            self.known, new = {b"": b""}, words
+        self.learn(new)
+        return list(map(self.known.__getitem__, words))
+
+    def many(self, texts: pa.Array | list[str | None]) -> Iterator[bytes]:
+        """The ids of each text; the distinct words of about ``GROUP`` bytes of text are looked up together."""
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts)).cast(pa.large_string()).fill_null("")
+        sizes = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))])
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + GROUP, side="right")) - 1)
+            lists = pc.ascii_split_whitespace(texts.slice(at, to - at))
+            words = lists.flatten().dictionary_encode()
+            ids = pa.array(self.found(words.dictionary.cast(pa.large_binary()).to_pylist()), type=pa.large_binary()).take(words.indices)
+            _, ends, raw = ids.buffers()
+            ends = np.frombuffer(ends, dtype=np.int64)[lists.offsets.to_numpy()].tolist()
+            for start, end in itertools.pairwise(ends):
+                yield raw[start:end].to_pybytes() if end > start else b""
+            at = to
 
     def __call__(self, text: str | None) -> bytes:
         return next(self.many([text]))
@@ -114,7 +169,7 @@ def _cut_texts(path: str, limit: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            made = word_ids(path).many(batch.column(2).to_pylist())
+            made = word_ids(path).many(batch.column(2))
             for doc_id, copy, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), made):
                 ids = memoryview(raw + end)
                 for piece, start in enumerate(range(0, len(ids), 4 * limit)):

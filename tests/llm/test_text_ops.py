@@ -87,6 +87,18 @@ def test_ids_equal_the_tokenizer(docs):
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text or "", add_special_tokens=False).ids
 
 
+def test_ids_of_spellings_equal_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    plain, ours = Tokenizer.from_file(PATH), packing.WordIds(PATH)
+    rng = np.random.default_rng(3)
+    signs = ["a", "Σ", "İ", "ß", "é", "e\u0301", "\u0301", "\ufb1d", "'", "s", "'T", "S", ".", "_", "1", "<|endoftext|>", "<|ENDOFTEXT|>", "\x01", "漢",
+             "ʰ", "क", "ा", "</w>", "<", ">", " ", "\t", "\x1c", "\x85", "\xa0"]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 12))) for _ in range(5000)]
+    for text, ids in zip(texts, ours.many(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def check_packing(rows, docs, limit):
     from tokenizers import Tokenizer
 
