@@ -5,9 +5,12 @@ anchors on words that stand once in both, takes the longest increasing subsequen
 aligns the gaps between them in the same way; a gap without such words is cut by equal ends
 and aligned by a longest common subsequence.  Coverage is the matched share of a template.
 
-A template is aligned with the whole text, without a bound on the words between matches.  Only the text's words that the template
-has enter, which keeps the work linear in the text and the result independent of the place.  The reported span ends at the first
-word by which so many words can be matched, and starts as late as that end allows.
+A passage is a stretch of at most ``1 + slack`` times the template's words (one extra word for each of the template by default), so
+words scattered over a text are no licence.  A stretch begins at every word of the text that the template has, which keeps the
+result independent of the place; it is aligned unless its words, as a bag, cannot match more than the best passage so far.  So the
+work grows with the text and the template's length.  Some templates name words that must be among the matched ones (``NEEDED``): without
+"nc" a notice is no CC-BY-NC, without "3" no GPL-3.0.  The reported span ends at the first word by which so many words can be
+matched, and starts as late as that end allows.
 
 Defined cases: null and empty texts have no hit; an empty template matches nothing; repeated rows and
 templates are treated each by itself; of equal coverages the first place counts; an empty table gives
@@ -41,6 +44,16 @@ TEMPLATES = {
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "reserved": "All rights reserved.",
 }
+#: Words without which a template is not the one meant, though its other words stand there.
+NEEDED = {
+    "Apache-2.0": {"apache", "2"},
+    "Apache-2.0-notice": {"apache"},
+    "MIT": {"mit"},
+    "GPL-3.0": {"gnu", "3"},
+    "GPL-notice": {"gnu"},
+    "CC-BY-NC-4.0": {"cc", "nc", "4"},
+    "CC-BY-4.0": {"creative", "commons", "attribution", "4"},
+}
 SMALL = 4096
 
 
@@ -132,37 +145,59 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], threshold: float):
-        self.templates = [(name, words, Counter(words), set(words)) for name, text in sorted(templates.items()) if (words := bare(text).split())]
+    def __init__(self, templates: dict[str, str], threshold: float, slack: float = 1.0, needed: dict[str, set[str]] | None = None):
+        self.templates = [(name, words, Counter(words), (needed or {}).get(name, set())) for name, text in sorted(templates.items())
+                          if (words := bare(text).split())]
         self.threshold = threshold
+        self.slack = slack
+
+    def passage(self, hits: list[int], own: list[str], template: list[str], counts: Counter, needed: set[str]) -> tuple[int, int, int]:
+        """Words matched by the best passage, at least the threshold (else 0), and its part of ``own``."""
+        least = max(1, int(-(-self.threshold * len(template) // 1)))
+        reach = len(template) + int(self.slack * len(template))
+        have: Counter = Counter()
+        bag = end = 0
+        best = (0, 0, 0)
+        for start, place in enumerate(hits):
+            while end < len(hits) and hits[end] < place + reach:
+                bag += have[own[end]] < counts[own[end]]
+                have[own[end]] += 1
+                end += 1
+            if bag >= max(least, best[0] + 1) and all(have[w] for w in needed):
+                pairs = patience(own[start:end], template)
+                if len(pairs) >= max(least, best[0] + 1) and needed <= {template[j] for _, j in pairs}:
+                    best = (len(pairs), start, end)
+            have[own[start]] -= 1
+            bag -= have[own[start]] < counts[own[start]]
+        return best
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """Licence, coverage and word span (end excluded) of the best passage of each template that reaches the threshold."""
         words = bare(text).split()
         seen = set(words)
         out = []
-        for name, template, counts, kinds in self.templates:
-            m = len(template)
-            need = -(-self.threshold * m // 1)
-            if sum(n for w, n in counts.items() if w in seen) < need:
+        for name, template, counts, needed in self.templates:
+            if not needed <= seen or sum(n for w, n in counts.items() if w in seen) < self.threshold * len(template):
                 continue
-            hits = [i for i, w in enumerate(words) if w in kinds]
+            hits = [i for i, w in enumerate(words) if w in counts]
             own = [words[i] for i in hits]
-            if sum(min(n, counts[w]) for w, n in Counter(own).items()) < need:
-                continue
-            n = len(patience(own, template))
-            if n and n >= need:
-                start, end = tight(own, template, n)
-                out.append((name, n / m, hits[start], hits[end - 1] + 1))
+            n, first, last = self.passage(hits, own, template, counts, needed)
+            if n:
+                start, end = tight(own[first:last], template, n)
+                out.append((name, n / len(template), hits[first + start], hits[first + end - 1] + 1))
         return out
 
 
 HITS = "array<struct<license:string,coverage:double,start_word:int,end_word:int>>"
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document and licence: ``doc_id, license, coverage, start_word, end_word`` (bare words, end excluded)."""
-    scanner = Scanner(TEMPLATES if templates is None else templates, threshold)
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text",
+         slack: float = 1.0, needed: dict[str, set[str]] | None = None) -> DataFrame:
+    """One row per document and licence: ``doc_id, license, coverage, start_word, end_word`` (bare words, end excluded).
+
+    ``needed`` are words that must be matched, by template; by default those of ``NEEDED``, for given ``templates`` none.
+    """
+    scanner = Scanner(TEMPLATES if templates is None else templates, threshold, slack, NEEDED if templates is None and needed is None else needed)
 
     @F.pandas_udf(HITS)
     def hits(texts: pd.Series) -> pd.Series:
