@@ -12,7 +12,8 @@ All lines of all documents take part, in four steps:
    another line go on; these are read again as text and thinned out in the same way by sixteenths;
 3. each of them emits the keys of its deletion neighbourhood: the hash of the line and of all
    lines with one character less.  A line and a deletion variant that are equal are an insertion
-   apart; two variants equal at the same place are a substitution apart.  Per key only the earliest
+   apart; two variants equal at the same place are a substitution apart.  Keys are counted first, and
+   those that one line alone has are not joined.  Per key only the earliest
    line is kept, so a key with very many lines gives one candidate for each line and never
    all pairs; candidates are verified by edit distance;
 4. the dropped places are gathered per document and cut out of its text.
@@ -163,20 +164,31 @@ def deletion_keys(line: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 KEYS = pa.schema([("n", pa.int64()), ("key", pa.int64()), ("kind", pa.int8())])
 
 
-def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        names, keys, kinds, size = [], [], [], 0
-        for n, line in zip(batch.column(0).to_pylist(), batch.column(1)):
-            key, kind, _ = deletion_keys(line.as_py())
-            names.append(np.full(len(key), n))
-            keys.append(key)
-            kinds.append(kind)
-            size += len(key)
-            if size > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (names, keys, kinds)], schema=KEYS)
-                names, keys, kinds, size = [], [], [], 0
-        if size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (names, keys, kinds)], schema=KEYS)
+def _emit_keys(bits: Bits | None):
+    """All keys of the lines, without names; with ``bits`` name, key and kind of those keys that it lets through."""
+
+    def made(n: int, line: str) -> list[np.ndarray]:
+        key, kind, _ = deletion_keys(line)
+        if bits is None:
+            return [key]
+        hit = bits.hits(key)
+        return [np.full(np.count_nonzero(hit), n), key[hit], kind[hit]]
+
+    schema = KEYS if bits is not None else pa.schema([KEYS.field("key")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, size = [], 0
+            for n, line in zip(batch.column(0).to_pylist(), batch.column(1)):
+                parts.append(made(n, line.as_py()))
+                size += len(parts[-1][0])
+                if size > 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], schema=schema)
+                    parts, size = [], 0
+            if size:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], schema=schema)
+
+    return run
 
 
 def _sharing(rows: DataFrame, keys: str, names: list[str]) -> DataFrame:
@@ -197,7 +209,9 @@ def near_lines(distinct: DataFrame, lines, fine: int = 16) -> DataFrame:
     text = text.select("first", *LINE, "line")
     text = cut(text.withColumn("n", F.xxhash64(*LINE)).dropDuplicates(["n"]))  # rows with equal place are copies of one row
     text = cut(text.join(_sharing(text.withColumn("keys", piece_keys(fine)), "keys", ["n"]), "n"))
-    keys = text.select("n", "line").mapInArrow(_emit_keys, "n bigint, key bigint, kind tinyint")
+    # Nearly all keys belong to one line: they are counted as bare numbers, and only keys of two lines or more are emitted with names.
+    met_twice = text.select("n", "line").mapInArrow(_emit_keys(None), "key bigint").groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    keys = text.select("n", "line").mapInArrow(_emit_keys(Bits(met_twice, "key")), "n bigint, key bigint, kind tinyint")
     keys = keys.withColumn("group", F.when(F.col("kind") == 2, 2).otherwise(1)).join(text.select("n", "first"), "n")
     met = F.struct("first", "n")
     best = keys.groupBy("group", "key").agg(
