@@ -6,10 +6,10 @@ numpy exclusive-or and bit counts inside *tiles*: blocks of at most about ``TILE
 
 Which rows can meet in a tile:
 
-- small radius (``buckets="bits"``): the word is cut in 2 * radius blocks; two fingerprints within the
+- small radius (``linked``): the word is cut in 2 * radius blocks; two fingerprints within the
   radius agree on half of them (pigeonhole), so every choice of that half is a bucket key;
-- large radius (``buckets="size"``): documents of similarity s have shingle counts within a factor
-  s, so a row meets its own size class and the next one.
+- similarity of sets (``keep_one``): two sets of Jaccard similarity s share one of the first n - ceil(s n) + 1 members of
+  either in any common order, so these prefixes, rare members first, are the bucket keys.
 
 A bucket larger than a tile is cut by population count in bins as wide as the radius plus one, and the
 bins by a hash; tile pairs whose bins are not the same or neighbours cannot hold a link and
@@ -39,10 +39,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from simplexflow.llm.components import components
-from simplexflow.llm.tables import Bits, row_key, spare
+from simplexflow.llm.ngramjoin import Shingler, fitting_bits, groups
+from simplexflow.llm.tables import row_key, shared_folder, spare
 from simplexflow.plans.lineage import cut
 
 TILE = 4096
+#: Rows of the table of frequent members, which only says what a prefix takes last.
+COMMON = 1 << 18
+#: Members of sets that a task holds before it hands on the frequent ones, or their keys.
+FLUSH = 1_000_000
 HASH = partial(xxhash.xxh64_intdigest, seed=42)
 #: Odd multipliers that make further words from one hash (any fixed odd numbers do).
 MIX = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
@@ -107,13 +112,6 @@ def _bit_buckets(radius: int) -> Column:
     return F.array(*keys)
 
 
-def _size_buckets(similarity: float) -> Column:
-    """Keys of the size classes: a row is at home in its own and a guest in the one below."""
-    size = F.floor(F.log(F.greatest("n_shingles", F.lit(1))) / math.log(1 / similarity)).cast("long")
-    return F.array(F.struct(F.lit(0).alias("t"), size.alias("key"), F.lit(True).alias("home")),
-                   F.struct(F.lit(0).alias("t"), (size - 1).alias("key"), F.lit(False).alias("home")))
-
-
 def _forest(a: np.ndarray, b: np.ndarray, labels: np.ndarray) -> list[tuple[int, int]]:
     """Links that join different labels; ``labels`` is a union-find table changed in place."""
     used = []
@@ -160,40 +158,23 @@ def _links(fp: np.ndarray, n: np.ndarray, home: np.ndarray, near: list[int], sim
     return used
 
 
-def _tile_links(near: list[int], similarity: float | None):
-    """Partitions sorted by tile pair in, spanning links out; one tile pair is in memory at a time."""
-
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        held: list[pa.RecordBatch] = []
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = np.column_stack([batch.column(c).to_numpy() for c in ("t", "key", "tile")])
-            borders = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
-            for lo, hi in zip(borders, borders[1:]):
-                if held and tuple(key[lo]) != last:
-                    yield held
-                    held = []
-                held.append(batch.slice(lo, hi - lo))
-                last = tuple(key[lo])
-        if held:
-            yield held
+def _tile_links(near: list[int], similarity: float | None, name: str | None = None):
+    """Partitions sorted by tile pair in, spanning links out (of fingerprints, or of the column ``name``); one tile pair is in memory at a time."""
+    kind = LINKS if name is None else pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[list, list]] = []
-        for group in groups(batches):
-            if sum(b.num_rows for b in group) < 2:
+        out: list[tuple] = []
+        for rows in groups(batches, ["t", "key", "tile"]):
+            if rows.num_rows < 2:
                 continue
-            fp = np.concatenate([b.column("fp").flatten().to_numpy().reshape(b.num_rows, -1) for b in group])
-            n = np.concatenate([b.column("n_shingles").to_numpy() for b in group])
-            home = np.concatenate([b.column("home").to_numpy(zero_copy_only=False) for b in group])
-            for i, j in _links(fp.view(np.uint64), n, home, near, similarity):
-                out.append((fp[i].tolist(), fp[j].tolist()))
+            fp = np.concatenate([c.flatten().to_numpy() for c in rows.column("fp").chunks]).reshape(rows.num_rows, -1)
+            n, home = rows.column("n_shingles").to_numpy(), rows.column("home").to_numpy()
+            names = fp if name is None else rows.column(name).to_numpy()
+            out += [(names[i].tolist(), names[j].tolist()) for i, j in _links(fp.view(np.uint64), n, home, near, similarity)]
             if len(out) > 5000:
-                yield pa.RecordBatch.from_pydict({"u": [a for a, _ in out], "v": [b for _, b in out]}, schema=LINKS)
+                yield pa.RecordBatch.from_pydict({"u": [a for a, _ in out], "v": [b for _, b in out]}, schema=kind)
                 out = []
-        yield pa.RecordBatch.from_pydict({"u": [a for a, _ in out], "v": [b for _, b in out]}, schema=LINKS)
+        yield pa.RecordBatch.from_pydict({"u": [a for a, _ in out], "v": [b for _, b in out]}, schema=kind)
 
     return run
 
@@ -221,79 +202,180 @@ def _tiles(rows: DataFrame, radius: int, tile: int) -> DataFrame:
         F.transform(upto("above"), lambda j: number(bin_, F.lit(1), F.col("salt"), j)),
         F.transform(upto("below"), lambda j: number(bin_ - 1, F.lit(1), j, F.col("salt"))))
     one = F.array(F.lit(-1).cast("long"))
-    return met.select("t", "key", "home", "fp", "n_shingles", F.explode(F.when(F.col("m") <= tile, one).otherwise(pairs)).alias("tile"))
+    return met.select(*rows.columns[:-1], F.explode(F.when(F.col("m") <= tile, one).otherwise(pairs)).alias("tile"))
 
 
-def linked(prints: DataFrame, radius: int, buckets: str = "bits", similarity: float | None = None, wide_radius: int | None = None,
-           tile: int = TILE) -> DataFrame:
+def linked(prints: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     """Links ``u``, ``v`` among distinct fingerprints ``fp``, ``n_shingles``: a spanning set of all links.
 
-    A link: the first words differ in at most ``radius`` bits and, for wide fingerprints, all words
-    together in at most ``wide_radius``; with ``similarity`` the shingle counts must be within that factor.
+    A link: the first words differ in at most ``radius`` bits.
     """
-    keys = _bit_buckets(radius) if buckets == "bits" else _size_buckets(similarity)
-    rows = prints.select("fp", "n_shingles", F.explode(keys).alias("b")).select("fp", "n_shingles", "b.*")
-    tiles = _tiles(rows, radius, tile).repartition("t", "key", "tile").sortWithinPartitions("t", "key", "tile")
-    return tiles.mapInArrow(_tile_links([radius, wide_radius], similarity), "u array<bigint>, v array<bigint>").distinct()
+    rows = prints.select("fp", "n_shingles", F.explode(_bit_buckets(radius)).alias("b")).select("fp", "n_shingles", "b.*")
+    return _in_tiles(_tiles(rows, radius, tile), [radius], None).distinct()
+
+
+def _in_tiles(rows: DataFrame, near: list[int], similarity: float | None, name: str | None = None) -> DataFrame:
+    kind = "bigint" if name else "array<bigint>"
+    sorted_ = rows.repartition("t", "key", "tile").sortWithinPartitions("t", "key", "tile")
+    return sorted_.mapInArrow(_tile_links(near, similarity, name), f"u {kind}, v {kind}")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 3, radius: int = 2, words: int = 1,
-            bare: bool = False, similarity: float | None = None, wide_radius: int | None = None, tile: int = TILE) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 3, radius: int = 2, tile: int = TILE) -> DataFrame:
     """One row per document: ``id``, ``row_key``, ``fp``, ``root`` (least fingerprint of its component, which names it) and ``component_id``
     (least id of the component; components may share it where ids are null or repeated).
-
-    With ``similarity`` the size buckets are used, else the pigeonhole.
     """
     prints = cut(docs.select(F.col(id_col).alias("id"), row_key(id_col, text).alias("row_key"),
-                             fingerprint_column(text, size, words, bare).alias("p")).select("id", "row_key", "p.*"))
+                             fingerprint_column(text, size).alias("p")).select("id", "row_key", "p.*"))
     each = cut(prints.groupBy("fp").agg(F.min("id").alias("least"), F.max("n_shingles").alias("n_shingles")))
-    links = linked(each.select("fp", "n_shingles"), radius, "bits" if similarity is None else "size", similarity, wide_radius, tile)
-    roots = components(links)
+    roots = components(linked(each.select("fp", "n_shingles"), radius, tile))
     named = each.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(least, "root").select("fp", "root", "component_id")
     return prints.join(named, "fp").select("id", "row_key", "fp", "root", "component_id")
 
 
-def shingle_set(text: str | None, size: int, bare: bool = True) -> np.ndarray:
-    """The distinct hashes of the shingles, in order."""
-    return np.unique(np.fromiter(map(HASH, set(shingles(text, size, bare))), dtype=np.uint64))
-
-
-def set_print(grams: np.ndarray, words: int = 4) -> tuple[np.ndarray, int]:
-    """The fingerprint words of a set, each of its members once, and a hash that names the set."""
+def set_print(grams: np.ndarray, words: int = 4) -> np.ndarray:
+    """The fingerprint words of a set, each of its members once."""
     counts = np.zeros(64 * words, dtype=np.int64)
     for start in range(0, len(grams), 16384):
         counts += _bits(grams[start:start + 16384], words).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > len(grams), bitorder="little").view("<u8"), HASH(grams.tobytes())
+    return np.packbits(2 * counts > len(grams), bitorder="little").view("<u8")
 
 
-SET_TYPE = StructType([StructField("unit", LongType(), False), *PRINT_TYPE])
+def bare(text: str) -> Column:
+    """The text without ASCII punctuation; null is empty."""
+    return F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), string.punctuation, "")
 
 
-def _set_column(text: str, size: int) -> Column:
-    @F.pandas_udf(SET_TYPE)
-    def prints(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set(t, size) for t in texts]
-        made = [set_print(g) for g in sets]
-        return pd.DataFrame({"unit": [np.uint64(m[1]).view(np.int64) for m in made], "fp": [m[0].view(np.int64) for m in made],
-                             "n_shingles": [len(g) for g in sets]})
+def _signed(h: int) -> int:
+    return h - (h >> 63 << 64)
 
-    return prints.asNondeterministic()(F.col(text))
 
+def _units(size: int):
+    """``id, row_key, mark, unit, fp, n_shingles`` of each text, and ``hash, df`` of members that are frequent among the sets of the partition."""
 
-def _sets_of(text_rows: DataFrame, size: int, bits: Bits) -> DataFrame:
-    """``unit``, ``grams`` of the texts whose unit may be among the keys of ``bits``."""
+    def frequent(parts: list[np.ndarray], kind: pa.DataType) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(parts), return_counts=True)
+        h, n = h[n > 2], n[n > 2]
+        none = [pa.nulls(len(h), t) for t in (kind, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64())]
+        return pa.RecordBatch.from_arrays([*none, pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=UNIT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, known, parts, held = Shingler(size), {}, [], 0
         for batch in batches:
-            sets = [shingle_set(t.as_py(), size) for t in batch.column(0)]
-            units = [int(np.uint64(HASH(g.tobytes())).view(np.int64)) for g in sets]
-            keep = [k for k, u in enumerate(units) if bits.hit(u)]
-            yield pa.RecordBatch.from_arrays([pa.array([units[k] for k in keep], pa.int64()), pa.array([sets[k].tobytes() for k in keep], pa.binary())],
-                                             names=["unit", "grams"])
+            units, prints, n = [], [], []
+            for grams in shingler.sets(batch.column(3)):
+                unit = _signed(HASH(grams.tobytes()))
+                if unit not in known:
+                    known[unit] = set_print(grams).view(np.int64).tolist()
+                    parts.append(grams)
+                    held += len(grams)
+                units.append(unit)
+                prints.append(known[unit])
+                n.append(len(grams))
+                if held > FLUSH:
+                    yield frequent(parts, batch.column(0).type)
+                    known, parts, held = {}, [], 0
+            none = pa.nulls(len(n), pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(units, pa.int64()), pa.array(prints, pa.list_(pa.int64())), pa.array(n, pa.int64()),
+                                              none, none], names=UNIT)
+        if held:
+            yield frequent(parts, batch.column(0).type)
+
+    return run
+
+
+UNIT = ["id", "row_key", "mark", "unit", "fp", "n_shingles", "hash", "df"]
+
+
+def _prefixes(size: int, similarity: float, common: np.ndarray):
+    """``unit, key``: the prefix of each set, members of the ``common`` table last and the most frequent of them very last."""
+    by_hash = np.argsort(common)
+    in_order = common[by_hash]
+
+    def rank(grams: np.ndarray) -> np.ndarray:
+        if not len(common):
+            return np.zeros(len(grams), np.int64)
+        at = np.minimum(np.searchsorted(in_order, grams), len(common) - 1)
+        return np.where(in_order[at] == grams, len(common) - by_hash[at], 0)
+
+    def made(units: list[int], keys: list[np.ndarray]) -> pa.RecordBatch:
+        unit = np.repeat(np.array(units, np.int64), [len(k) for k in keys])
+        key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        return pa.RecordBatch.from_arrays([pa.array(unit), pa.array(key.view(np.int64))], names=["unit", "key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, seen = Shingler(size), set()
+        for batch in batches:
+            units, keys, held = [], [], 0
+            for grams in shingler.sets(batch.column(0)):
+                unit = _signed(HASH(grams.tobytes()))
+                if not len(grams) or unit in seen:
+                    continue
+                seen.add(unit)
+                units.append(unit)
+                keys.append(grams[np.lexsort((grams, rank(grams)))[:len(grams) - math.ceil(similarity * len(grams) - 1e-9) + 1]])
+                held += len(keys[-1])
+                if held > FLUSH // 4:
+                    yield made(units, keys)
+                    units, keys, held = [], [], 0
+            yield made(units, keys)
+            if len(seen) > FLUSH:
+                seen = set()
+
+    return run
+
+
+def _sets_of(texts: DataFrame, size: int, need: DataFrame) -> DataFrame:
+    """``unit``, ``grams`` of the texts (columns ``mark``, ``text``) whose mark may be among those of ``need``."""
+    bits = fitting_bits(need, "mark")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, seen = Shingler(size), set()
+        for batch in batches:
+            batch = batch.filter(pa.array(bits.hits(batch.column(0).to_numpy())))
+            units, held, bytes_held = [], [], 0
+            for grams in shingler.sets(batch.column(1)):
+                unit = _signed(HASH(grams.tobytes()))
+                if unit not in seen:
+                    seen.add(unit)
+                    units.append(unit)
+                    held.append(grams.tobytes())
+                    bytes_held += len(held[-1])
+                if bytes_held > 1 << 22:
+                    yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(held, pa.binary())], names=["unit", "grams"])
+                    units, held, bytes_held = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(held, pa.binary())], names=["unit", "grams"])
+            if len(seen) > FLUSH:
+                seen = set()
+
+    return texts.mapInArrow(run, "unit bigint, grams binary").groupBy("unit").agg(F.first("grams").alias("grams"))
+
+
+def _only(bits):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(bits.hits(batch.column(1).to_numpy())))
+
+    return run
+
 
-    return text_rows.mapInArrow(run, "unit bigint, grams binary")
+def candidates(texts: DataFrame, each: DataFrame, common: np.ndarray, size: int, similarity: float, radius: int, wide_radius: int, tile: int) -> DataFrame:
+    """Links ``u``, ``v`` of units that share a key and whose fingerprints are near: their components hold every pair of this kind."""
+    path = shared_folder(texts.sparkSession, "simhash-keys")
+    texts.select("text").mapInArrow(_prefixes(size, similarity, common), "unit bigint, key bigint").write.parquet(path)
+    keys = texts.sparkSession.read.schema("unit bigint, key bigint").parquet(path)
+    shared = cut(keys.groupBy("key").agg(F.min("unit").alias("a"), F.max("unit").alias("b")).where("a < b").select("key"))
+    met = keys.mapInArrow(_only(fitting_bits(shared, "key")), "unit bigint, key bigint")
+    met = cut(met.join(shared, "key").distinct())
+    # Near copies share many keys: buckets with the same units are one.
+    about = met.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("unit").alias("a"), F.sum(F.xxhash64("unit").cast("decimal(20,0)")).alias("sum"))
+    about = cut(about.groupBy("m", "a", "sum").agg(F.min("key").alias("key")).select("key", "m"))
+    rows = met.join(about, "key").join(each.select("unit", "fp", "n_shingles"), "unit")
+    rows = cut(rows.select(F.lit(0).alias("t"), "key", F.lit(True).alias("home"), "unit", "fp", "n_shingles", "m"))
+    small = rows.where(F.col("m") <= tile).drop("m").withColumn("tile", F.lit(-1).cast("long"))
+    large = _tiles(rows.where(F.col("m") > tile).drop("m"), radius, tile)
+    return _in_tiles(small.unionByName(large), [radius, wide_radius], similarity, "unit").distinct()
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -331,19 +413,16 @@ def _verify(similarity: float, wide_radius: int):
     return run
 
 
-def jaccard_links(docs: DataFrame, each: DataFrame, text: str, size: int, similarity: float, radius: int, wide_radius: int, tile: int,
-                  block: int = 1024) -> DataFrame:
-    """Links ``u``, ``v`` of units with exact similarity, a spanning set of those among the candidates.
+def jaccard_links(texts: DataFrame, each: DataFrame, found: DataFrame, size: int, similarity: float, wide_radius: int, block: int = 1024) -> DataFrame:
+    """Links ``u``, ``v`` of units with exact similarity, a spanning set of those inside the components of ``found``.
 
-    Every link lies inside one component of the candidates; sets travel only for components of two units or more,
-    and those larger than ``block`` are compared block by block.
+    Sets travel only for components of two units or more, and those larger than ``block`` are compared block by block.
     """
-    links = linked(each.select("fp", "n_shingles").distinct(), radius, "size", similarity, wide_radius, tile)
-    named = each.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    sizes = named.groupBy("root").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    need = cut(named.join(sizes, "root").select("root", "m", "fp", "unit"))
-    sets = _sets_of(docs.select(text), size, Bits(need, "unit")).groupBy("unit").agg(F.min("grams").alias("grams"))
-    rows = need.join(sets, "unit").withColumn("blocks", F.ceil(F.col("m") / block)).withColumn("mine", F.pmod(F.xxhash64("unit"), "blocks"))
+    named = components(found).withColumnRenamed("node", "unit").join(each, "unit")
+    sizes = named.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
+    need = cut(named.join(sizes, "root").select("root", "m", "fp", "unit", "mark"))
+    rows = need.join(_sets_of(texts, size, need), "unit")
+    rows = rows.withColumn("blocks", F.ceil(F.col("m") / block)).withColumn("mine", F.pmod(F.xxhash64("unit"), "blocks"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     rows = rows.withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")})
     return rows.select("root", "low", "high", "fp", "unit", "grams").groupBy("root", "low", "high").applyInArrow(
@@ -351,21 +430,28 @@ def jaccard_links(docs: DataFrame, each: DataFrame, text: str, size: int, simila
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8,
-             radius: int = 24, wide_radius: int = 70, tile: int = TILE) -> DataFrame:
+             radius: int = 32, wide_radius: int = 85, tile: int = TILE) -> DataFrame:
     """One row of each group of near-duplicates, that with the least id; columns of ``docs``.
 
-    Similarity is that of the sets of bare lower-case shingles, decided exactly.  Fingerprints of four words (256 bits) of
-    these sets only find the candidates: at Jaccard similarity 0.8 the angle is acos(1.6 / 1.8), so 38.6 bits
-    differ on average (deviation 5.7; 48 for four of five shingles), and 9.7 in the first word (deviation 2.9).
-    ``wide_radius`` and ``radius`` lie 3.5 deviations or more above both.  Texts of one set are one unit.
+    Similarity is that of the sets of bare lower-case shingles, decided exactly.  Sets meet where they share a key, which every similar
+    pair does; there fingerprints of four words (256 bits) of the sets tell which pairs are candidates: at Jaccard similarity 0.8 the
+    angle is acos(1.6 / 1.8), so 38.6 bits differ on average (deviation 5.7; 48 for four of five shingles), and 9.7 in the first
+    word (deviation 2.9).  ``wide_radius`` and ``radius`` lie 5.5 deviations or more above both.  Texts of one set are one unit.
     Texts without any word share a group.  Rows with equal id and text are one document: the first
     by a hash of their other columns stays.
     """
     group, key, order, own = (spare(docs, name) for name in ("group", "row_key", "order", "own_key"))
-    prints = cut(docs.select(F.col(id_col).alias("id"), row_key(id_col, text).alias("row_key"), _set_column(text, size).alias("p")).select(
-        "id", "row_key", "p.*"))
-    each = cut(prints.select("unit", "fp", "n_shingles").distinct())
-    roots = components(jaccard_links(docs, each, text, size, similarity, radius, wide_radius, tile)).withColumnRenamed("node", "unit")
+    texts = docs.select(bare(text).alias("text")).select(F.xxhash64("text").alias("mark"), "text")
+    rows = docs.select(F.col(id_col).alias("id"), row_key(id_col, text).alias("row_key"), bare(text).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    both = cut(rows.select("id", "row_key", F.xxhash64("text").alias("mark"), "text").mapInArrow(
+        _units(size), f"id {kind}, row_key bigint, mark bigint, unit bigint, fp array<bigint>, n_shingles bigint, hash bigint, df bigint"))
+    prints = both.where("unit is not null")
+    each = cut(prints.groupBy("unit").agg(F.min("mark").alias("mark"), F.min("fp").alias("fp"), F.min("n_shingles").alias("n_shingles")))
+    often = both.where("hash is not null").groupBy("hash").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "hash").limit(COMMON).select("hash").toPandas()
+    common = often["hash"].to_numpy(dtype=np.int64).view(np.uint64)
+    found = cut(candidates(texts, each, common, size, similarity, radius, wide_radius, tile))
+    roots = components(jaccard_links(texts, each, found, size, similarity, wide_radius)).withColumnRenamed("node", "unit")
     named = prints.select("id", "row_key", "unit").join(roots, "unit", "left").withColumn("root", F.coalesce("root", "unit"))
     keep = named.groupBy("root").agg(F.min(F.struct("id", "row_key")).alias("best")).select("best.*").select(
         F.col("id").alias(group), F.col("row_key").alias(key)).distinct()
