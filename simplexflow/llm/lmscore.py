@@ -8,11 +8,11 @@ vocabulary and the interpolation, and differ in their counts only:
 so each model sums to one.  Every word and every bigram of the corpus counts, at any size (V words, and one
 for those never seen).
 
-``scored`` keeps all counts in Spark.  Documents are dealt to *chunks* of about ``CHUNK`` bytes of text; a chunk sends
-each of its distinct bigrams, histories and words once to that key and gets the sums over all chunks back, so a
-common key has one row per chunk and not one per document.  Words travel as 64-bit hashes and bigrams as pairs of them
-(at ten million words two share a hash with a chance of 3e-6).  ``train`` and ``score`` hold the same model
-on the driver, for small tables.
+``scored`` keeps all counts in Spark.  Documents are dealt to *chunks* of about ``CHUNK`` bytes of text.  A chunk counts its words and
+bigrams as 64-bit hashes and sends them, sorted, in one row per *range* of hashes; a range adds the counts of all chunks and sends back
+to each chunk one bit per key (has another chunk this key too?) and the sums of those keys; for all others the chunk's own count is the
+sum.  A common key so has one entry per chunk and not one per document.  Equal rows of a chunk are counted once with their number.  At ten
+million words two share a hash with a chance of 3e-6.  ``train`` and ``score`` hold the same model on the driver, for small tables.
 
 A document's score is the mean over its tokens of (target loss - background loss) in bits: low is
 near the target.
@@ -31,9 +31,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from simplexflow.llm.ngramjoin import MULTIPLIER, mixed
 from simplexflow.llm.tables import Bits, parts_for, spare, split_by
 from simplexflow.plans.lineage import cut
 
@@ -201,90 +203,150 @@ def score(docs: DataFrame, models: Models, doc_id: str = "doc_id", text: str = "
     return out.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
 
 
+def packed(values: np.ndarray) -> bytes:
+    """64-bit numbers, first all their low bytes, then the next ones and so on."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpacked(data: bytes, kind: type = np.int64) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view(kind).ravel()
+
+
+#: Places in each chunk's table of words: the start of a text, and one that counts all tokens.
+FIRST, TOTAL = 0, 1
+#: Counts of a word: as word and as history, of all and of marked texts; of a bigram: of all and of marked texts.
+WORDS, BIGRAMS = 0, 1
+
+
 @dataclass
 class Chunk:
-    """Texts of one chunk as word numbers; the numbers and the places of its keys follow from the set of its words alone."""
+    """Texts of one chunk as places in sorted tables of words and bigrams, which follow from the chunk's texts alone."""
 
     lengths: np.ndarray
-    hashes: np.ndarray
-    h: np.ndarray
+    times: np.ndarray
+    words: np.ndarray
     w: np.ndarray
+    h: np.ndarray
     bigrams: np.ndarray
     at: np.ndarray
 
     @classmethod
-    def of(cls, texts: pa.ChunkedArray) -> Chunk:
+    def of(cls, table: pa.Table) -> Chunk:
+        """``table``: columns ``text`` and ``times``, how often the row occurs."""
         known: dict[bytes, int] = {}
-        parts = [np.array([known.setdefault(w, len(known)) for w in tokens(t.as_py())], dtype=np.int64) for t in texts]
-        words = sorted(known)
-        rank = np.empty(len(words), dtype=np.int64)
-        rank[[known[w] for w in words]] = np.arange(1, len(words) + 1)
-        hashes = np.array([xxhash.xxh64_intdigest(w) for w in [b"", *words]], dtype=np.uint64).view(np.int64)  # no word is empty: the start
+        number = known.setdefault
+        parts = [np.array([number(w, len(known)) for w in tokens(t.as_py())], dtype=np.int32) for t in table.column("text")]
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), dtype=np.uint64, count=len(known))
+        hashes[hashes <= TOTAL] += np.uint64(2)
+        words, place = np.unique(np.concatenate([np.array([FIRST, TOTAL], np.uint64), hashes]), return_inverse=True)
         lengths = np.array([len(p) for p in parts], dtype=np.int64)
-        w = rank[np.concatenate(parts)] if parts else np.zeros(0, np.int64)
+        w = place[2:][np.concatenate([*parts, np.zeros(0, np.int32)])]
         h = np.roll(w, 1)
-        h[(np.cumsum(lengths) - lengths)[lengths > 0]] = START
-        bigrams, at = np.unique(h << 32 | w, return_inverse=True)
-        return cls(lengths, hashes, h, w, bigrams, at)
-
-    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Kind (0 bigram, 1 history, 2 word, 3 all tokens) and two hashes of each key; the order is that of the places."""
-        size = len(self.hashes)
-        kind = np.repeat(np.arange(4, dtype=np.int8), [len(self.bigrams), size, size, 1])
-        first = np.concatenate([self.hashes[self.bigrams >> 32], self.hashes, self.hashes, [0]])
-        second = np.concatenate([self.hashes[self.bigrams & 0xFFFFFFFF], np.zeros(2 * size + 1, np.int64)])
-        return kind, first, second
-
-    def counts(self, weights: np.ndarray) -> np.ndarray:
-        """Sums of the tokens' ``weights`` for each place."""
-        size = len(self.hashes)
-        return np.concatenate([np.bincount(self.at, weights, len(self.bigrams)), np.bincount(self.h, weights, size),
-                               np.bincount(self.w, weights, size), [weights.sum()]]).astype(np.int64)
-
-    def losses(self, sums: np.ndarray, n_words: int, weight: float) -> np.ndarray:
+        h[(np.cumsum(lengths) - lengths)[lengths > 0]] = FIRST
+        bigrams, at = np.unique(mixed(mixed(words[h]) * MULTIPLIER + words[w]), return_inverse=True)
+        return cls(lengths, table.column("times").to_numpy(), words, w, h, bigrams, at)
+
+    def keys(self, kind: int) -> np.ndarray:
+        return self.words if kind == WORDS else self.bigrams
+
+    def counts(self, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of words (rows: word, history, marked word, marked history) and of bigrams (rows: all, marked)."""
+        words, bigrams = [], []
+        for times in (self.times, self.times * mark):
+            each = np.repeat(times, self.lengths).astype(float)
+            words += [np.bincount(x, each, len(self.words)) for x in (self.w, self.h)]
+            words[-2][TOTAL] = each.sum()
+            bigrams.append(np.bincount(self.at, each, len(self.bigrams)))
+        return np.array(words).astype(np.int64), np.array(bigrams).astype(np.int64)
+
+    def losses(self, word: np.ndarray, history: np.ndarray, bigram: np.ndarray, n_words: int, weight: float) -> np.ndarray:
         """Mean loss of each text under the model with these sums."""
-        size, n = len(self.hashes), len(self.bigrams)
-        c = sums[n:n + size][self.bigrams >> 32]
-        base = (sums[n + size:n + 2 * size][self.bigrams & 0xFFFFFFFF] + 1) / (sums[-1] + n_words + 1)
-        loss = -np.log2(weight * sums[:n] / np.maximum(c, 1) + (1 - weight * (c > 0)) * base)
+        c = history[self.h]
+        base = (word[self.w] + 1) / (word[TOTAL] + n_words + 1)
+        loss = -np.log2(weight * bigram[self.at] / np.maximum(c, 1) + (1 - weight * (c > 0)) * base)
         of = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        return np.bincount(of, loss[self.at], len(self.lengths)) / np.maximum(self.lengths, 1)
+        return np.bincount(of, loss, len(self.lengths)) / np.maximum(self.lengths, 1)
+
+
+def _ranges(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    """Numbers of the ranges of hashes that have keys, with their first and last place; 2 ** bits ranges in all."""
+    number = keys >> np.uint64(64 - bits) if bits else np.zeros(len(keys), np.uint64)
+    starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    yield from zip(number[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)])
+
 
+SENT = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("range", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
-def _chunk_counts(key: tuple, table: pa.Table) -> pa.Table:
-    chunk = Chunk.of(table.column("text"))
-    mark = np.repeat(table.column("mark").to_numpy(), chunk.lengths)
-    n, m = chunk.counts(np.ones(len(chunk.w))), chunk.counts(mark.astype(float))
-    kind, first, second = chunk.keys()
-    some = np.flatnonzero(n)
-    return pa.table({"chunk": np.full(len(some), key[0].as_py(), np.int64), "place": some.astype(np.int32), "kind": kind[some], "a": first[some],
-                     "b": second[some], "n": n[some], "m": m[some]})
+
+def _chunk_counts(bits: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        chunk = Chunk.of(table)
+        rows = []
+        for kind, counts in zip((WORDS, BIGRAMS), chunk.counts(table.column("mark").to_numpy())):
+            keys = chunk.keys(kind)
+            for number, lo, hi in _ranges(keys, bits):
+                rows.append((key[0].as_py(), kind, number, packed(np.diff(keys[lo:hi], prepend=np.uint64(0))), packed(counts[:, lo:hi])))
+        return pa.Table.from_pydict(dict(zip(SENT.names, zip(*rows))) if rows else {n: [] for n in SENT.names}, schema=SENT)
+
+    return run
+
+
+def _range_sums(key: tuple, table: pa.Table) -> pa.Table:
+    """Blocks of one range in; for each, which of its keys others have too, and the sums of these."""
+    blocks = [np.cumsum(unpacked(b, np.uint64), dtype=np.uint64) for b in table.column("keys").to_pylist()]
+    ends = np.cumsum([len(b) for b in blocks])
+    counts = np.concatenate([unpacked(c).reshape(-1, len(b)) for c, b in zip(table.column("counts").to_pylist(), blocks)], axis=1)
+    found, at, often = np.unique(np.concatenate(blocks), return_inverse=True, return_counts=True)
+    sums = np.array([np.bincount(at, c, len(found)) for c in counts]).astype(np.int64)
+    shared, sent = [], []
+    for lo, hi in zip(ends - [len(b) for b in blocks], ends):
+        own = at[lo:hi]
+        hit = often[own] > 1
+        shared.append(np.packbits(hit).tobytes())
+        sent.append(packed(sums[:, own[hit]]))
+    return table.select(["chunk", "kind", "range"]).append_column("keys", pa.array(shared, pa.binary())).append_column("counts", pa.array(sent, pa.binary()))
+
+
+def source_split() -> Column:
+    """Names the part of the file that a row is read from: rows of a hot text then go to a chunk for each part."""
+    return F.xxhash64(F.input_file_name(), F.input_file_block_start())
 
 
 def scored(docs: DataFrame, mark: str, doc_id: str = "doc_id", text: str = "text", weight: float = 0.6, whole: DataFrame | None = None,
-           chunk: int = CHUNK) -> DataFrame:
+           chunk: int = CHUNK, split: str | None = None) -> DataFrame:
     """``doc_id, n_tokens, target_loss, background_loss, difference`` of every row under the models of all rows.
 
-    ``whole`` may give the same rows without the mark, where making the mark costs a shuffle.
+    ``whole`` may give the same rows without the mark, where making the mark costs a shuffle.  ``split`` may name a column of
+    ``source_split()``, made before any shuffle.
     """
     whole = (docs if whole is None else whole).select(F.col(text).alias("text"))
     n_chunks = parts_for(whole.agg(F.sum(F.octet_length("text"))).first()[0] or 0, chunk)
-    n_words = whole.mapInArrow(_count_words, "word binary, n bigint").select("word").distinct().count()
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(mark), F.lit(False)).alias("mark"))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks).cast("bigint")))
-    sent = rows.groupBy("chunk").applyInArrow(_chunk_counts, "chunk bigint, place int, kind byte, a bigint, b bigint, n bigint, m bigint")
-    key = Window.partitionBy("kind", "a", "b")
-    sums = sent.select("chunk", "place", F.sum("n").over(key).alias("n"), F.sum("m").over(key).alias("m"))
+    n_words = whole.mapInArrow(_count_words, "word binary, n bigint").select(F.xxhash64("word")).distinct().count()
+    bits = n_chunks.bit_length()
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(mark), F.lit(False)).alias("mark"),
+                       F.col(split).alias("split") if split else F.lit(0).cast("bigint").alias("split"))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", "split"), F.lit(n_chunks).cast("bigint"))).drop("split")
+    rows = rows.repartition("chunk").groupBy("chunk", "doc_id", "text", "mark").agg(F.count(F.lit(1)).alias("times"))
+    kinds = "chunk bigint, kind int, range bigint, keys binary, counts binary"
+    sent = rows.groupBy("chunk").applyInArrow(_chunk_counts(bits), kinds)
+    sums = sent.groupBy("kind", "range").applyInArrow(_range_sums, kinds)
 
     def run(table: pa.Table, back: pa.Table) -> pa.Table:
-        held = Chunk.of(table.column("text"))
-        losses = []
-        for name in ("m", "n"):
-            of = np.zeros(len(held.bigrams) + 2 * len(held.hashes) + 1, dtype=np.int64)
-            of[back.column("place").to_numpy()] = back.column(name).to_numpy()
-            losses.append(pa.array(held.losses(of, n_words, weight), mask=held.lengths == 0))
-        return pa.table([table.column("doc_id"), pa.array(held.lengths), *losses], names=["doc_id", "n_tokens", "target_loss", "background_loss"])
-
-    fields = "doc_id bigint, n_tokens bigint, target_loss double, background_loss double"
+        held = Chunk.of(table)
+        words, bigrams = held.counts(table.column("mark").to_numpy())
+        places = {(kind, number): slice(lo, hi) for kind in (WORDS, BIGRAMS) for number, lo, hi in _ranges(held.keys(kind), bits)}
+        for kind, number, shared, counts in zip(*(back.column(c).to_pylist() for c in ("kind", "range", "keys", "counts"))):
+            own = (words, bigrams)[kind][:, places[kind, number]]
+            hit = np.unpackbits(np.frombuffer(shared, np.uint8), count=own.shape[1]).astype(bool)
+            own[:, hit] = unpacked(counts).reshape(len(own), -1)
+        none = held.lengths == 0
+        losses = [pa.array(held.losses(words[i], words[i + 1], bigrams[i // 2], n_words, weight), mask=none) for i in (2, 0)]
+        return pa.table([table.column("doc_id"), pa.array(held.lengths), *losses, table.column("times")], names=names)
+
+    names = ["doc_id", "n_tokens", "target_loss", "background_loss", "times"]
+    fields = "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, times bigint"
     out = rows.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(run, fields)
+    out = out.withColumn("times", F.explode(F.expr("sequence(1L, times)"))).drop("times")
     return out.withColumn("difference", F.col("target_loss") - F.col("background_loss"))

@@ -55,9 +55,9 @@ def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op9_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = table(spark, sf, "documents").select("doc_id", "text", lmscore.source_split().alias("split"))
     good = table(spark, sf, "labels").where("quality = 1 and toxic = 0").select("doc_id")
-    return lmscore.scored(lmscore.marked(docs, good, "good"), "good", whole=docs)
+    return lmscore.scored(lmscore.marked(docs, good, "good"), "good", whole=docs, split="split")
 
 
 def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
