@@ -1,6 +1,6 @@
 """Packing token sequences: best fit, then swaps that increase the squared fill until bins empty.
 
-A text is split at ASCII white space and each word is encoded once per worker while its cache lasts (the tokenizer drops
+A text is split at ASCII white space and each word is encoded once per task while its cache lasts (the tokenizer drops
 white space and works word by word, so the ids of a text are those of its words in order).  Arrow splits the texts, numbers
 their distinct words and gathers the ids; Python sees each distinct word of about ``GROUP`` bytes once.
 Texts longer than a sequence are cut; full pieces are sequences of their own.  All shorter
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from simplexflow.llm.tables import parts_for
 from simplexflow.plans.lineage import cut
 
-#: Words kept by a worker (about 200 bytes each).
+#: Words kept by a task (about 200 bytes each).
 CACHED_WORDS = 1_000_000
 
 
@@ -145,6 +145,9 @@ class WordIds:
                 yield raw[start:end].to_pybytes() if end > start else b""
             at = to
 
+    def forget(self) -> None:
+        self.known = {b"": b""}
+
     def __call__(self, text: str | None) -> bytes:
         return next(self.many([text]))
 
@@ -153,7 +156,7 @@ _held: dict[str, WordIds] = {}
 
 
 def word_ids(path: str) -> WordIds:
-    """One tokenizer and cache per worker process."""
+    """One tokenizer per worker process; a task empties its cache when it ends, since workers live on in later stages."""
     if path not in _held:
         _held[path] = WordIds(path)
     return _held[path]
@@ -167,9 +170,10 @@ def _cut_texts(path: str, limit: int, end_id: int):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = word_ids(path)
         for batch in batches:
             rows = []
-            made = word_ids(path).many(batch.column(2))
+            made = held.many(batch.column(2))
             for doc_id, copy, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), made):
                 ids = memoryview(raw + end)
                 for piece, start in enumerate(range(0, len(ids), 4 * limit)):
@@ -177,6 +181,7 @@ def _cut_texts(path: str, limit: int, end_id: int):
                     rows.append((doc_id, copy, piece, start // 4, len(part) // 4, zlib.crc32(part)))
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), PIECES)] if rows else
                                              [pa.array([], type=f.type) for f in PIECES], schema=PIECES)
+        held.forget()
 
     return run
 

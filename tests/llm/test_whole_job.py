@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +53,25 @@ def test_lm_scoring_by_chunks_equals_the_model_on_the_driver(spark, docs, odd, n
             assert all(a == b or a == pytest.approx(b, rel=1e-9, abs=1e-9) for x, y in zip(got, want) for a, b in zip(x[2:], y[2:]))
 
 
+def test_lm_scoring_of_a_hot_row(spark, tmp_path):
+    """Equal rows are counted once with their number, come back one by one, and go to a chunk for each part of the source."""
+    rows = [(None, "the same short text", False)] * 5000 + [(i, f"own words number {i} the same", i % 2 == 0) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, good boolean").repartition(4).write.parquet(f"{tmp_path}/hot")
+    docs = spark.read.parquet(f"{tmp_path}/hot").withColumn("split", lmscore.source_split())
+    assert docs.select("split").distinct().count() == 4
+    order = lambda df: sorted(map(tuple, df.collect()), key=str)
+    want = order(lmscore.score(docs, lmscore.train(docs, "good")))
+    for chunk in (1 << 12, 1 << 24):
+        got = order(lmscore.scored(docs, "good", chunk=chunk, split="split"))
+        assert [r[:2] for r in got] == [r[:2] for r in want] and len(got) == 5040
+        assert all(a == pytest.approx(b, rel=1e-9, abs=1e-9) for x, y in zip(got, want) for a, b in zip(x[2:], y[2:]))
+
+
+def test_numbers_survive_packing():
+    for x in (np.zeros(0, np.int64), np.array([0, 1, -1, 2**63 - 1, -(2**63)]), np.arange(3000) ** 3):
+        assert lmscore.unpacked(lmscore.packed(x)).tolist() == x.tolist()
+
+
 def test_keep_one_keeps_unrelated_texts_with_null_or_repeated_ids(spark):
     texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
     rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[3])]
