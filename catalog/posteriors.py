@@ -150,7 +150,7 @@ def edge_draws(spark, sf):
     types = table(spark, sf, "events").select("event_type").distinct()
     ends = types.select(F.col("event_type").alias("from"))
     edges = grid_join(ends, types.select(F.col("event_type").alias("to")), "to").filter(F.col("from") != F.col("to"))
-    return grid_join(draws, edges, "to")
+    return grid_join(draws, edges, "to", blocks=4)
 
 
 EDGE_DRAWS = """ed AS (SELECT a.event_type AS "from", b.event_type AS "to", p_partkey % 4 AS chain, p_partkey // 4 AS iter, p_size / 500.0 AS r0, -p_retailprice / 4000 AS a_ii, (p_size - 25) / 100.0 AS a_ij,
