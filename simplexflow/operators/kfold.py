@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from simplexflow.plans.lineage import cut
 from simplexflow.sources.panel import grid_join
 
 SLICES = 256
@@ -50,7 +51,7 @@ def fold_status(inputs: DataFrame, splits: DataFrame, min_pairs: int = 4) -> Dat
     Counts are first taken per (edge, subject), then combined per fold; the training
     count is the total minus the held-out count.
     """
-    per = inputs.groupBy("from", "to", "subject").agg(F.count("*").alias("n"))
+    per = cut(inputs.groupBy("from", "to", "subject").agg(F.count("*").alias("n")))
     total = per.groupBy("from", "to").agg(F.sum("n").alias("n_all"))
     held = per.join(splits, "subject").groupBy("from", "to", "rep", "fold").agg(F.sum("n").alias("n_test"))
     folds = splits.select("rep", "fold").distinct()
