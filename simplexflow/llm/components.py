@@ -9,20 +9,19 @@ from simplexflow.plans.lineage import cut
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step on edges ``u > v``: hang nodes on the least node next to them.
+    """One star step on edges ``u > v``: hang nodes on the least node next to them.  Every edge gives one at most; some may be equal.
 
     Minima come from a partial aggregate, so a node with very many links costs one row per
     task; the join back can be split where a node is hot.
     """
     if large:
-        sides = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = sides.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        moved = sides.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
+        both = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = edges.select(F.inline(both)).groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        moved = edges.select(F.col("v").alias("u"), F.col("u").alias("v")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    else:  # the edge to the least node stays, the others' ends hang on that node
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        moved = edges.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        moved = moved.unionByName(least.select("u", F.col("m").alias("v")))
-    return moved.where(F.col("u") != F.col("v")).distinct()
+        moved = edges.join(least, "u").select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
+    return moved.where(F.col("u") != F.col("v"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -39,6 +38,6 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen or not state[0]:
             break
         seen = state
-        edges = cut(_stars(_stars(edges, True), False))
+        edges = cut(_stars(_stars(edges, True), False).distinct())
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from simplexflow.llm import decontaminate, lines, quality, simhash, urls, warc
-from simplexflow.llm.components import components
+from simplexflow.llm.components import _stars, components
 from simplexflow.llm.tables import row_key, shared_folder
 
 from .conftest import frame
@@ -278,3 +278,14 @@ def test_pipeline_against_plain_python(spark, docs, odd, none):
 
 def test_row_key_tells_rows_apart(spark, odd):
     assert odd.select(row_key()).distinct().count() == odd.distinct().count()
+
+
+def test_star_steps_read_their_edges_once_a_side(spark):
+    """A round of the components has no union of its edges with themselves, and hanging keeps one edge or none for each."""
+    edges = spark.createDataFrame([(5, 4), (5, 3), (4, 1), (9, 2), (9, 8), (7, 2)], "u bigint, v bigint")
+    large = _stars(edges, True)
+    assert sorted(map(tuple, large.collect())) == [(4, 1), (5, 1), (5, 3), (7, 2), (9, 2), (9, 8)]
+    small = _stars(edges, False)
+    assert sorted(map(tuple, small.collect())) == [(4, 1), (4, 3), (5, 3), (7, 2), (8, 2), (9, 2)]
+    plan = _stars(large, False).distinct()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("Join") <= 3
