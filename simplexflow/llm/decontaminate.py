@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from simplexflow.llm.tables import parts_for, spare
+from simplexflow.llm.tables import parts_for, small_batches, spare
 
 BLANK = bytes.maketrans(string.punctuation.encode() + b"\t\n\x0b\x0c\r", b" " * (len(string.punctuation) + 5))
 
@@ -142,6 +142,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, into: str = "hits", text: s
     """``docs`` with an array of hits: item, distance and place in the bare text."""
     if into in docs.columns:
         raise ValueError(f"column {into} exists")
+    small_batches(docs.sparkSession)
     size = benchmark.agg(F.sum(F.length(item_text))).first()[0] or 0
     shards = parts_for(size, shard_chars)
     shard = F.pmod(F.xxhash64(item_id, item_text), F.lit(shards))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from simplexflow.llm.tables import Bits, row_key, spare, split_by
+from simplexflow.llm.tables import Bits, row_key, small_batches, spare, split_by
 from simplexflow.plans.lineage import cut
 
 LINE = ["a", "b"]  # the two halves of a line's hash
@@ -257,6 +257,7 @@ def without_lines(texts: pd.Series, gone: pd.Series) -> pd.Series:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = 3, gone: str | None = None) -> DataFrame:
     """``docs`` with later copies of lines cut out; with ``gone`` also the dropped line numbers."""
+    small_batches(docs.sparkSession)
     number, key, other, own = (spare(docs, name) for name in ("gone", "row_key", "other_id", "own_key"))
     drops = cut(dropped_lines(docs, id_col, text, min_words).select(F.col("id").alias(other), F.col("row_key").alias(key), F.col("gone").alias(number)))
     touched, same = split_by(docs.withColumn(own, row_key(id_col, text)), own, Bits(drops, key))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from simplexflow.llm.tables import SPACES, spare
+from simplexflow.llm.tables import SPACES, small_batches, spare
 
 #: Symbols that the base rules count; fixed values of the contract.
 SYMBOLS = "#*$%&|<>"
@@ -188,6 +188,7 @@ def keep_good(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> Da
     Texts are measured twice, once for the counts and once for the decision; that costs less
     than shuffling them, and needs no key.
     """
+    small_batches(docs.sparkSession)
     name = spare(docs, "measured")
     measured = docs.withColumn(name, text_stats(F.col(text)))
     model = fit(docs.select(text_stats(F.col(text)).alias(name)), f"{name}.")

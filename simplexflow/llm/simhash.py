@@ -40,7 +40,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 
 from simplexflow.llm.components import components
 from simplexflow.llm.ngramjoin import Shingler, fitting_bits, groups
-from simplexflow.llm.tables import row_key, shared_folder, spare
+from simplexflow.llm.tables import row_key, shared_folder, small_batches, spare
 from simplexflow.plans.lineage import cut
 
 TILE = 4096
@@ -440,6 +440,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size:
     Texts without any word share a group.  Rows with equal id and text are one document: the first
     by a hash of their other columns stays.
     """
+    small_batches(docs.sparkSession)
     group, key, order, own = (spare(docs, name) for name in ("group", "row_key", "order", "own_key"))
     texts = docs.select(bare(text).alias("text")).select(F.xxhash64("text").alias("mark"), "text")
     rows = docs.select(F.col(id_col).alias("id"), row_key(id_col, text).alias("row_key"), bare(text).alias("text"))

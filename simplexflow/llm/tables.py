@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 SPACES = " \t\n\x0b\x0c\r"
 
+#: Bytes of a batch of rows on its way to Python.
+BATCH_BYTES = 4 << 20
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -26,6 +29,11 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches that go to Python by bytes; 10,000 texts at once are held several times, by the executor and by its Python workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """64 bits of id and text; used only next to the id itself."""
     return F.xxhash64(F.col(doc_id), F.col(text))

@@ -2,9 +2,10 @@
 
 import hashlib
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from simplexflow.llm import decontaminate, simhash, toxicity, warc
+from simplexflow.llm import decontaminate, lines, quality, simhash, tables, toxicity, warc
 from simplexflow.llm.tables import shared_folder
 
 
@@ -36,3 +37,20 @@ def test_a_row_without_an_id_is_not_held_out(spark):
     docs = spark.createDataFrame([(None, "some words"), (3, "more words")], "doc_id bigint, text string")
     labels = spark.createDataFrame([(3, 1)], "doc_id bigint, toxic int")
     assert all(r.held_out is not None for r in toxicity.judged(docs, labels).collect())
+
+
+def test_batches_to_python_are_bounded_by_bytes(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [batch.nbytes]})
+
+    long = spark.range(3000, numPartitions=1).select(F.repeat(F.lit("word "), 4000).alias("text"))
+    passage = "the quick brown fox jumps over the lazy dog and runs away"
+    docs = spark.createDataFrame([(1, "x " * (tables.BATCH_BYTES // 2) + passage), (2, "clean words only")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, passage)], "item_id bigint, text string")
+    stages = {"quality": quality.keep_good, "lines": lines.dedup_lines, "simhash": simhash.keep_one, "decontaminate": lambda d: decontaminate.clean_only(d, items)}
+    for name, stage in stages.items():
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        out = stage(docs)
+        assert long.mapInArrow(sizes, "bytes bigint").agg(F.max("bytes")).first()[0] < 2 * tables.BATCH_BYTES, name
+    assert [r.doc_id for r in out.collect()] == [2]
