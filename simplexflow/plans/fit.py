@@ -168,7 +168,7 @@ def pair_inputs(panel: DataFrame, samples: DataFrame, *, guard: bool = True, **o
 def _panel_rows(panel, axis, seats, profile, o: FitOptions) -> DataFrame:
     smoothed = o.smooth and o.smooth_scale == "logra"
     dense = dense_shares(panel, axis, seats, profile, o)
-    rows = P.pair_rows(dense, carry=["nz"] + (["share"] if smoothed else []), blocks=o.blocks)
+    rows = P.pair_rows(dense, carry=["nz"] + (["share"] if smoothed else []), blocks=P.blocks_for(panel, profile, o.blocks))
     return regression_rows(open_triplet(rows, smoothed), profile, o)
 
 
