@@ -68,7 +68,7 @@ def stack(log_scores: np.ndarray, steps: int = 5000, tol: float = 1e-10) -> np.n
     models with the same scores.
     """
     n, k = log_scores.shape
-    offset = np.where(log_scores.std(axis=0) == 0, 1e-12 * np.arange(1, k + 1), 0.0)
+    offset = np.where(np.ptp(log_scores, axis=0) == 0, 1e-12 * np.arange(1, k + 1), 0.0)
     p = np.exp(log_scores + offset - log_scores.max(axis=1, keepdims=True))
     w = np.full(k, 1.0 / k)
     for _ in range(steps):
@@ -84,7 +84,8 @@ def stacking_weights(pointwise: DataFrame, per_row=False, min_models=2, min_subj
     """Stacking weights per target.
 
     Targets whose score matrix has at most ``task_cells`` cells are solved one per group.
-    Larger ones take the same update as Spark aggregates, one pass per step.
+    Larger ones take the same steps as Spark aggregates, one pass per step, and stop by the same rule,
+    so the size decides where a target is solved and not what comes out.
     """
     scores = cut(common_subjects(pointwise, per_row, min_models, min_subjects))
     sizes = scores.groupBy("to").agg(F.count("*").alias("_cells"))
@@ -99,28 +100,41 @@ def stacking_weights(pointwise: DataFrame, per_row=False, min_models=2, min_subj
     large = sizes.filter(F.col("_cells") > task_cells).select("to")
     if large.limit(1).count() == 0:
         return out
-    return out.unionByName(stack_by_passes(scores.join(large, "to", "left_semi"), min(steps, 400), tol))
+    return out.unionByName(stack_by_passes(scores.join(large, "to", "left_semi"), steps, tol))
 
 
-def stack_by_passes(scores: DataFrame, steps: int, tol: float, check_every: int = 10) -> DataFrame:
-    """The stacking update on distributed scores; stops when no weight moves by ``tol``.
+def stack_by_passes(scores: DataFrame, steps: int, tol: float) -> DataFrame:
+    """The steps of ``stack`` on distributed scores; a target leaves when none of its weights moves by ``tol``.
 
     Each step reads the scores once and ends in one small row per model, which is cut
     from its lineage so that plans do not grow.
     """
     top = F.max("s").over(W.partitionBy("to", "subject"))
-    p = cut(scores.select("to", "from", "subject", F.exp(F.col("s") - top).alias("p")))
-    w = p.select("to", "from").distinct()
-    w = w.withColumn("weight", 1 / F.count("*").over(W.partitionBy("to")))
+    models = scores.groupBy("to", "from").agg((F.max("s") == F.min("s")).alias("_flat"))
+    models = models.withColumn("_place", F.row_number().over(W.partitionBy("to").orderBy("from")))
+    w = cut(models.select("to", "from", F.when(F.col("_flat"), F.lit(1e-12) * F.col("_place")).otherwise(F.lit(0.0)).alias("_offset"),
+                          (1 / F.count("*").over(W.partitionBy("to"))).alias("weight")))
+    p = scores.withColumn("_top", top).join(w, ["to", "from"])
+    p = cut(p.select("to", "from", "subject", F.exp(F.col("s") + F.col("_offset") - F.col("_top")).alias("p")))
+    w = w.select("to", "from", "weight")
     total = F.sum("_x").over(W.partitionBy("to", "subject"))
+    moved = F.max(F.abs(F.col("weight") - F.col("_old"))).over(W.partitionBy("to"))
+    done = []
     for step in range(1, steps + 1):
         mixed = p.join(w, ["to", "from"]).withColumn("_x", F.col("p") * F.col("weight"))
-        new = cut(mixed.withColumn("_t", total).groupBy("to", "from").agg(
-            F.avg(F.col("_x") / F.col("_t")).alias("weight"), F.max("weight").alias("_old")))
+        new = mixed.withColumn("_t", total).groupBy("to", "from").agg(
+            F.avg(F.col("_x") / F.col("_t")).alias("weight"), F.max("weight").alias("_old"))
+        new = cut(new.withColumn("_still", moved < F.lit(tol)).drop("_old"))
+        ended = new.agg(F.sum(F.col("_still").cast("int")).alias("ended"), F.count("*").alias("all")).first()
         w = new.select("to", "from", "weight")
-        if step % check_every == 0 and new.agg(F.max(F.abs(F.col("weight") - F.col("_old")))).first()[0] < tol:
+        if ended["ended"]:
+            done.append(new.filter("_still").select("to", "from", "weight"))
+            w = new.filter(~F.col("_still")).select("to", "from", "weight")
+        if ended["ended"] == ended["all"]:
             break
-    return w
+    for part in done:
+        w = w.unionByName(part)
+    return w.withColumn("weight", F.col("weight") / F.sum("weight").over(W.partitionBy("to")))
 
 
 def cumulative_fdr(df: DataFrame, lfsr: str = "lfsr", key: list[str] | None = None, out: str = "q_lfsr") -> DataFrame:
