@@ -162,8 +162,7 @@ def score_independent_query(nu):
     def run(spark, sf):
         panel, samples = build(spark, sf, "events")
         inputs = pair_inputs(panel, samples, smooth=False)
-        draws = read_draws(edge_draws(spark, sf))
-        out = D.score_subjects(draws, inputs, "indep", nu=nu)
+        out = D.score_subjects(edge_draws(spark, sf), inputs, "indep", nu=nu)
         return rounded(out, ["from", "to", "subject", "n_obs", "elpd_method"], ["elpd", "elpd_ppd"])
 
     sd = "sqrt(sigma * sigma + sd_ou * sd_ou)"
@@ -185,7 +184,7 @@ def replicate_query(nu):
     def run(spark, sf):
         panel, samples = build(spark, sf, "events")
         inputs = pair_inputs(panel, samples, smooth=False)
-        wide = D.wide_draws(read_draws(edge_draws(spark, sf))).withColumn("pred_sd", D.predictive_sd("wn"))
+        wide = D.wide_draws(edge_draws(spark, sf)).withColumn("pred_sd", D.predictive_sd("wn"))
         rows = D.replicate(wide, inputs, nu)
         if nu is None:
             return rounded(rows.groupBy("from", "to").agg(F.count("*").alias("n"), F.avg("ll").alias("ll")), ["from", "to", "n"], ["ll"])
@@ -202,7 +201,7 @@ def score_kalman_query():
     def run(spark, sf):
         panel, samples = build(spark, sf, "events")
         inputs = pair_inputs(panel, samples, smooth=False)
-        out = D.score_subjects(read_draws(edge_draws(spark, sf)), inputs, "auto")
+        out = D.score_subjects(edge_draws(spark, sf), inputs, "auto")
         return rounded(out, ["from", "to", "subject", "n_obs", "elpd_method"], ["elpd", "elpd_ppd"])
 
     return run, None
