@@ -185,11 +185,10 @@ def replicate_query(nu):
         panel, samples = build(spark, sf, "events")
         inputs = pair_inputs(panel, samples, smooth=False)
         wide = D.wide_draws(edge_draws(spark, sf)).withColumn("pred_sd", D.predictive_sd("wn"))
-        rows = D.replicate(wide, inputs, nu)
         if nu is None:
+            rows = D.replicate(wide, inputs, nu)
             return rounded(rows.groupBy("from", "to").agg(F.count("*").alias("n"), F.avg("ll").alias("ll")), ["from", "to", "n"], ["ll"])
-        out = rows.groupBy("from", "to").agg(F.count("*").alias("n"), F.avg("ll").alias("ll"), F.avg("y_rep").alias("rep_mean"), F.stddev_samp("y_rep").alias("rep_sd"))
-        return rounded(out, ["from", "to", "n"], ["ll", "rep_mean", "rep_sd"])
+        return rounded(D.replicate_moments(wide, inputs, nu), ["from", "to", "n"], ["ll", "rep_mean", "rep_sd"])
 
     ctes = f"""{inputs_sql('events', PLAIN)}, {EDGE_DRAWS},
 o AS (SELECT i."from", i."to", count(*) AS n, avg(-0.5 * pow((y - r0 - a_ii * xi - a_ij * xj) / sigma, 2) - ln(sigma) - 0.5 * ln(2 * pi())) AS ll
