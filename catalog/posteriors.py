@@ -257,7 +257,7 @@ def rank_loaded_query():
     """Edges from loaded draws with the sampler diagnostics gate, sign, rate and weights."""
     def run(spark, sf):
         lines = wide_lines(spark, sf)
-        s = D.summarise_draws(read_draws(lines)).filter("variable = 'a_ij'")
+        s = D.summarise_draws(read_draws(lines).filter("variable = 'a_ij'"))
         edges = s.select("from", "to", F.col("mean").alias("a_mean"), F.col("q2_5").alias("a_q2_5"), F.col("q97_5").alias("a_q97_5"), "p_sign2")
         diag = D.diagnose(read_draws(lines), read_sampler_diag(lines), 10)
         points = table(spark, sf, "lineitem").groupBy(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from simplexflow.functions.scalars import check_choice, finite
 from simplexflow.operators import draws as D
 from simplexflow.operators import weights as B
+from simplexflow.plans.lineage import cut
 
 EDGE_COLUMNS = {"from", "to", "a_mean", "a_q2_5", "a_q97_5", "p_sign2"}
 SELF_COLUMNS = {"pair_i", "pair_j", "taxon", "a_self_mean", "a_self_q2_5", "a_self_q97_5", "p_sign2_self"}
@@ -63,7 +64,9 @@ def rank_edges(bundle: dict[str, DataFrame], *, alpha: float | None = None, gate
     points = bundle.get("pointwise")
     tables = {}
     if points is not None:
-        passing = points.join(edges.filter("diag_ok").select("from", "to").distinct(), ["from", "to"], "left_semi")
+        # Each weight reads these two; uncut, every one of them would work out all diagnostics and scores again.
+        edges = cut(edges)
+        passing = cut(points.join(edges.filter("diag_ok").select("from", "to").distinct(), ["from", "to"], "left_semi"))
         rules = {"per_row": per_row, "min_models": min_models, "min_subjects": min_subjects}
         tables["w_pseudobma"] = B.pseudo_bma(passing, **rules)
         tables["w_pseudobma_plus"] = B.pseudo_bma(passing, bootstrap, **rules)
